@@ -30,3 +30,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
     return packed.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterloom.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
