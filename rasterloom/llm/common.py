@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.session import ship
+
 _roots: dict[str, str] = {}
 
 
@@ -58,6 +60,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def columns(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast: other columns of the input can have any name."""
+    ship(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
 
 

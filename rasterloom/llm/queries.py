@@ -38,3 +38,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 12 hash shards to 16 of near-equal bytes."""
+    from rasterloom.llm.sharding import reshard
+
+    docs = table(spark, sf_dir, "documents")
+    old = F.pmod(F.xxhash64("doc_id", "text"), F.lit(12))
+    placed = reshard(docs, old, old_shards=12, shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
+
+
+@query
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterloom.llm.embed import near_vectors
+
+    found = near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
