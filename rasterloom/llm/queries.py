@@ -57,3 +57,38 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
     return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+@query
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) make pair k."""
+    from rasterloom.llm.chat import preferences
+
+    turns = table(spark, sf_dir, "conversations")
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
+    found = preferences(turns, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0)
+    return found.select("pair_id", "has_both", "n_prompt_turns", "prompt", "chosen", spans("chosen_spans").alias("chosen_spans"), "rejected", spans("rejected_spans").alias("rejected_spans"))
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterloom.llm.decontam import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterloom.llm.licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").cast("long").alias("first_word"),
+        F.array_max("places").cast("long").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        F.round("score", 6).alias("score"),
+    )
