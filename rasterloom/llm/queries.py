@@ -92,3 +92,12 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("labels", ",").alias("labels"),
         F.round("score", 6).alias("score"),
     )
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterloom.llm.quality import bad_labels, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = score(docs, bad_labels(labels), host=F.col("source"), path=F.concat_ws("/", "source", "lang"))
+    return found.withColumn("rejected", F.col("p_bad") > 0.4)
