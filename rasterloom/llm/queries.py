@@ -101,3 +101,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = score(docs, bad_labels(labels), host=F.col("source"), path=F.concat_ws("/", "source", "lang"))
     return found.withColumn("rejected", F.col("p_bad") > 0.4)
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterloom.llm.suffix import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
