@@ -221,7 +221,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     if length < GRAM:
         raise ValueError(f"strings of {GRAM} bytes at least")
-    spark, buckets = docs.sparkSession, shuffle_width(docs.sparkSession)
+    buckets = 4 * shuffle_width(docs.sparkSession)  # a bucket is judged in one piece, so it should be small
     rows = columns(docs, **{id_col: "long", text_col: "string"}).toDF("doc_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
