@@ -117,3 +117,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rasterloom.llm.lm import score
 
     return score(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

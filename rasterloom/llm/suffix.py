@@ -17,14 +17,14 @@ empty result; further columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
-
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rasterloom.llm.common import columns, shuffle_width
+from rasterloom.llm.common import shuffle_width
 from rasterloom.llm.deepshallow import classes, words
+from rasterloom.session import ship
 
 GRAM = 24
 #: Bytes of text in a block, about; blocks that share a key before its strings are spread; bytes hashed at once.
@@ -74,13 +74,14 @@ def _code(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((x & np.uint64(0xFFFFFFFF)) % np.uint64(buckets) << np.uint64(32) | x >> np.uint64(32)).astype(np.int64)
 
 
-def _documents(table) -> list[tuple[int, bytes]]:
-    """A block's documents in an order that does not depend on how they came."""
+def _documents(table) -> tuple[list[tuple[int, bytes]], list[int]]:
+    """A block's documents in an order that does not depend on how they came, and where each stood."""
     from rasterloom.llm.common import utf8
 
     ids = [LAST if i is None else i for i in table.column("doc_id").to_pylist()]
-    texts = [t for c in table.column("text").chunks for t in utf8(c)]
-    return sorted(zip(ids, texts))
+    docs = list(zip(ids, (t for c in table.column("text").chunks for t in utf8(c))))
+    order = sorted(range(len(docs)), key=docs.__getitem__)
+    return [docs[i] for i in order], order
 
 
 def _pack(*parts) -> bytes:
@@ -215,23 +216,27 @@ def union(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, spans, kept): the removed runs of each document, and its other bytes joined."""
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", rest: Column | None = None) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept): the removed runs of each document, and its other bytes joined.
+
+    rest: a value of each row that comes through unchanged, as the column rest; kept is then text, without broken characters.
+    """
     import pyarrow as pa
 
     if length < GRAM:
         raise ValueError(f"strings of {GRAM} bytes at least")
     buckets = 4 * shuffle_width(docs.sparkSession)  # a bucket is judged in one piece, so it should be small
-    rows = columns(docs, **{id_col: "long", text_col: "string"}).toDF("doc_id", "text")
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([] if rest is None else [rest.alias("rest")]))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     if total == 0 or rows.where("doc_id is null").limit(1).count():  # null ids are spread by their texts
         rows = rows.withColumn("block", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")).otherwise(F.col("block")))
-    by_block = rows.groupBy("block")
+    by_block, carried = rows.groupBy("block"), rest is not None
 
     def offer(key, t):
-        codes = block_keys(_documents(t), length, buckets)
+        codes = block_keys(_documents(t)[0], length, buckets)
         cut = np.flatnonzero(np.diff(codes >> 32)) + 1
         parts = [c for c in np.split(codes, cut) if len(c)]
         return pa.table([pa.array([int(c[0] >> 32) for c in parts], pa.int32()), pa.array([key[0].as_py()] * len(parts), pa.int32()), pa.array([c.astype(np.uint32).tobytes() for c in parts], pa.binary())], ["bucket", "block", "rests"])
@@ -249,7 +254,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     sent_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("gone", pa.bool_()), ("data", pa.binary())])
 
     def send(key, t, replies):
-        docs = _documents(t)
+        docs, _ = _documents(t)
         known, spread = (np.sort(np.frombuffer(b"".join(replies.column(c).to_pylist()), np.int64)) for c in ("known", "spread"))
         out, gone = block_runs(docs, length, buckets, known, spread)
         me, made = key[0].as_py(), []
@@ -283,11 +288,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     kept_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
 
     def apply(key, t, replies):
-        docs = _documents(t)
+        docs, order = _documents(t)
         parts = [_unpack(d, np.int32, np.int32, np.int32) for d in replies.column("data").to_pylist()]
         index, start, stop = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 3
-        order = np.argsort(index, kind="stable")
-        index, start, stop = index[order], start[order], stop[order]
+        by = np.argsort(index, kind="stable")
+        index, start, stop = index[by], start[by], stop[by]
         out = []
         for i, (doc, text) in enumerate(docs):
             lo, hi = np.searchsorted(index, [i, i + 1])
@@ -295,10 +300,30 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             ends = [0, *(x for span in spans for x in span), len(text)]
             out.append((None if doc == LAST else doc, len(text), [{"start": a, "stop": b} for a, b in spans], b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2]))))
         cols = list(zip(*out)) or [[], [], [], []]
-        return pa.table([pa.array(c, f.type) for c, f in zip(cols, kept_schema)], schema=kept_schema)
-
+        if not carried:
+            return pa.table([pa.array(c, f.type) for c, f in zip(cols, kept_schema)], schema=kept_schema)
+        texts = pa.array([k.decode(errors="ignore") for k in cols[3]], pa.string())
+        return pa.table([*(pa.array(c, f.type) for c, f in zip(cols[:3], kept_schema)), texts, t.column("rest").take(order)], [*kept_schema.names, "rest"])
+
+    result = T.StructType().add("doc_id", "long").add("n_bytes", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))).add("kept", "binary" if rest is None else "string")
+    if rest is not None:
+        result = result.add("rest", rows.schema["rest"].dataType)
     offered = by_block.applyInArrow(offer, "bucket int, block int, rests binary")
     answered = offered.groupBy("bucket").applyInArrow(answer, "block int, known binary, spread binary")
     sent = by_block.cogroup(answered.groupBy("block")).applyInArrow(send, "bucket int, block int, gone boolean, data binary")
     judged = sent.groupBy("bucket").applyInArrow(judge, "block int, data binary")
-    return by_block.cogroup(judged.groupBy("block")).applyInArrow(apply, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    return by_block.cogroup(judged.groupBy("block")).applyInArrow(apply, result)
+
+
+def cut_texts(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all columns, its texts less the repeated passages; what a cut leaves of a character goes too.
+
+    A null text stays null. A column n_chars, where there is one, is counted anew.
+    """
+    rest = F.struct(F.col(f"`{text_col}`").isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col])
+    found = remove_repeats(docs, length, id_col, text_col, rest)
+    text = F.when(~F.col("rest.none"), F.col("kept"))
+    out = {c: text if c == text_col else F.col(f"rest.c{i}") for i, c in enumerate(docs.columns)}
+    if "n_chars" in out:
+        out["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[x.alias(c) for c, x in out.items()])
