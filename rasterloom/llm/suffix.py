@@ -26,7 +26,7 @@ from rasterloom.llm.common import shuffle_width
 from rasterloom.llm.deepshallow import classes, words
 from rasterloom.session import ship
 
-GRAM = 24
+GRAM = 16
 #: Bytes of text in a block, about; blocks that share a key before its strings are spread; bytes hashed at once.
 BLOCK_BYTES, SPREAD, CHUNK = 4 << 20, 64, 1 << 20
 LAST = (1 << 63) - 1
@@ -85,12 +85,12 @@ def _documents(table) -> tuple[list[tuple[int, bytes]], list[int]]:
 
 
 def _pack(*parts) -> bytes:
-    """Arrays and bytes, compressed."""
+    """Arrays (as differences, which compress well) and bytes, compressed."""
     import zstandard
 
-    raw = [p if isinstance(p, bytes) else np.ascontiguousarray(p).tobytes() for p in parts]
+    raw = [p if isinstance(p, bytes) else np.diff(p, prepend=p.dtype.type(0)).tobytes() for p in parts]
     head = np.array([len(r) for r in raw], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(len(raw).to_bytes(8, "little") + head + b"".join(raw))
+    return zstandard.ZstdCompressor(level=6).compress(len(raw).to_bytes(8, "little") + head + b"".join(raw))
 
 
 def _unpack(data: bytes, *kinds) -> list:
@@ -101,11 +101,17 @@ def _unpack(data: bytes, *kinds) -> list:
     at, out = 8 + 8 * n, []
     for size, kind in zip(np.frombuffer(raw, np.int64, n, 8).tolist(), kinds):
         part = raw[at : at + size]
-        out.append(part if kind is bytes else np.frombuffer(part, kind))
+        out.append(part if kind is bytes else np.cumsum(np.frombuffer(part, kind), dtype=kind))
         at += size
     return out
 
 
+def _codes(buckets: list[int], rests: list[bytes]) -> np.ndarray:
+    """Ascending codes of keys that came by bucket."""
+    parts = [np.frombuffer(r, np.uint32).astype(np.int64) | b << 32 for b, r in zip(buckets, rests)]
+    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
+
 def _in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(x), bool)
@@ -225,7 +231,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     if length < GRAM:
         raise ValueError(f"strings of {GRAM} bytes at least")
-    buckets = 4 * shuffle_width(docs.sparkSession)  # a bucket is judged in one piece, so it should be small
+    buckets = 2 * shuffle_width(docs.sparkSession)  # a bucket is judged in one piece, so it should be small
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([] if rest is None else [rest.alias("rest")]))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -245,17 +251,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         rests = [np.frombuffer(r, np.uint32) for r in t.column("rests").to_pylist()]
         block, rest, spread = shared_keys(np.repeat(t.column("block").to_numpy(), [len(r) for r in rests]), np.concatenate(rests))
         order = np.argsort(block, kind="stable")
-        block, code, spread = block[order], rest[order].astype(np.int64) | key[0].as_py() << 32, spread[order]
+        block, rest, spread = block[order], rest[order], spread[order]
         cut = np.flatnonzero(np.diff(block)) + 1
-        out = [(int(b[0]), c[~s].tobytes(), c[s].tobytes()) for b, c, s in zip(np.split(block, cut), np.split(code, cut), np.split(spread, cut)) if len(b)]
-        cols = list(zip(*out)) or [[], [], []]
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["block", "known", "spread"])
+        out = [(int(b[0]), key[0].as_py(), r[~s].tobytes(), r[s].tobytes()) for b, r, s in zip(np.split(block, cut), np.split(rest, cut), np.split(spread, cut)) if len(b)]
+        cols = list(zip(*out)) or [[], [], [], []]
+        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["block", "bucket", "known", "spread"])
 
     sent_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("gone", pa.bool_()), ("data", pa.binary())])
 
     def send(key, t, replies):
         docs, _ = _documents(t)
-        known, spread = (np.sort(np.frombuffer(b"".join(replies.column(c).to_pylist()), np.int64)) for c in ("known", "spread"))
+        known, spread = (_codes(replies.column("bucket").to_pylist(), replies.column(c).to_pylist()) for c in ("known", "spread"))
         out, gone = block_runs(docs, length, buckets, known, spread)
         me, made = key[0].as_py(), []
         for bucket, found in out.items():
@@ -309,7 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     if rest is not None:
         result = result.add("rest", rows.schema["rest"].dataType)
     offered = by_block.applyInArrow(offer, "bucket int, block int, rests binary")
-    answered = offered.groupBy("bucket").applyInArrow(answer, "block int, known binary, spread binary")
+    answered = offered.groupBy("bucket").applyInArrow(answer, "block int, bucket int, known binary, spread binary")
     sent = by_block.cogroup(answered.groupBy("block")).applyInArrow(send, "bucket int, block int, gone boolean, data binary")
     judged = sent.groupBy("bucket").applyInArrow(judge, "block int, data binary")
     return by_block.cogroup(judged.groupBy("block")).applyInArrow(apply, result)
