@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from rasterloom.plans import book, screen  # noqa: F401  (their import registers the queries)
+
 FLAGSHIP = "diff_weights"
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES = book.QUERIES
+SQL = book.SQL
