@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.plans import book, screen  # noqa: F401  (their import registers the queries)
+from rasterloom.plans import book, machine, screen, stream  # noqa: F401  (their import registers the queries)
 
 FLAGSHIP = "diff_weights"
 QUERIES = book.QUERIES

@@ -22,56 +22,40 @@ def palette_rows() -> list[tuple]:
     return [(p, label, CODES[n], n, *rgb) for p, (label, colours) in PALETTES.items() for n, rgb in colours.items()]
 
 
-class _Plain:
-    """The functions that the formula needs, on Python numbers."""
-
-    sqrt, cos, exp, atan2 = staticmethod(math.sqrt), staticmethod(math.cos), staticmethod(math.exp), staticmethod(math.atan2)
-    pow = staticmethod(pow)
-    when = staticmethod(lambda test, a, b: a if test else b)
-
-
-class _Columns:
-    """The same on Columns."""
-
-    sqrt, cos, exp, atan2, pow = staticmethod(F.sqrt), staticmethod(F.cos), staticmethod(F.exp), staticmethod(F.atan2), staticmethod(F.pow)
-    when = staticmethod(lambda test, a, b: F.when(test, a).otherwise(b))
-
-
-def lab(rgb: tuple, m=_Plain) -> tuple:
-    line = [m.when(c / 255 <= 0.04045, c / 255 / 12.92, m.pow((c / 255 + 0.055) / 1.055, 2.4)) for c in rgb]
+def lab(rgb: tuple) -> tuple:
+    """CIE Lab of an sRGB colour, under D65."""
+    line = [c / 255 / 12.92 if c / 255 <= 0.04045 else ((c / 255 + 0.055) / 1.055) ** 2.4 for c in rgb]
     xyz = [sum(k * c for k, c in zip(row, line)) / w for row, w in zip(TO_XYZ, WHITE)]
-    x, y, z = (m.when(v > 216 / 24389, m.pow(v, 1 / 3), 7.787 * v + 16 / 116) for v in xyz)
+    x, y, z = (v ** (1 / 3) if v > 216 / 24389 else 7.787 * v + 16 / 116 for v in xyz)
     return 116 * y - 16, 500 * (x - y), 200 * (y - z)
 
 
-def ciede2000(one: tuple, two: tuple, m=_Plain):
+def ciede2000(one: tuple, two: tuple) -> float:
     """The CIEDE2000 difference of two Lab colours, by the published formula, with unit weights."""
     (l1, a1, b1), (l2, a2, b2) = one, two
-    mean_c7 = m.pow((m.sqrt(a1 * a1 + b1 * b1) + m.sqrt(a2 * a2 + b2 * b2)) / 2, 7)
-    g = 0.5 * (1 - m.sqrt(mean_c7 / (mean_c7 + 25**7)))
+    mean_c7 = ((math.hypot(a1, b1) + math.hypot(a2, b2)) / 2) ** 7
+    g = 0.5 * (1 - math.sqrt(mean_c7 / (mean_c7 + 25**7)))
     a1, a2 = (1 + g) * a1, (1 + g) * a2
-    c1, c2 = m.sqrt(a1 * a1 + b1 * b1), m.sqrt(a2 * a2 + b2 * b2)
-    h1, h2 = (m.when(h < 0, h + 360, h) for h in (m.atan2(b, a) * (180 / math.pi) for a, b in ((a1, b1), (a2, b2))))
-    turn, grey = h2 - h1, c1 * c2 == 0
-    turn = m.when(grey, 0.0, m.when(turn > 180, turn - 360, m.when(turn < -180, turn + 360, turn)))
-    gap = m.when(h1 > h2, h1 - h2, h2 - h1)
-    hue = m.when(grey, h1 + h2, m.when(gap <= 180, (h1 + h2) / 2, m.when(h1 + h2 < 360, (h1 + h2 + 360) / 2, (h1 + h2 - 360) / 2)))
-    cos = lambda deg: m.cos(deg * (math.pi / 180))
+    c1, c2 = math.hypot(a1, b1), math.hypot(a2, b2)
+    h1, h2 = (math.degrees(math.atan2(b, a)) % 360 for a, b in ((a1, b1), (a2, b2)))
+    grey = c1 * c2 == 0
+    turn = 0.0 if grey else (h2 - h1 + 180) % 360 - 180
+    if grey:
+        hue = h1 + h2
+    elif abs(h1 - h2) <= 180:
+        hue = (h1 + h2) / 2
+    else:
+        hue = (h1 + h2 + (360 if h1 + h2 < 360 else -360)) / 2
+    cos = lambda deg: math.cos(math.radians(deg))
     t = 1 - 0.17 * cos(hue - 30) + 0.24 * cos(2 * hue) + 0.32 * cos(3 * hue + 6) - 0.2 * cos(4 * hue - 63)
     light, chroma = (l1 + l2) / 2, (c1 + c2) / 2
-    off = (light - 50) * (light - 50)
-    dl = (l2 - l1) / (1 + 0.015 * off / m.sqrt(20 + off))
+    off = (light - 50) ** 2
+    dl = (l2 - l1) / (1 + 0.015 * off / math.sqrt(20 + off))
     dc = (c2 - c1) / (1 + 0.045 * chroma)
-    dh = 2 * m.sqrt(c1 * c2) * cos(90 - turn / 2) / (1 + 0.015 * chroma * t)
-    c7 = m.pow(chroma, 7)
-    spread = 30 * m.exp(-m.pow((hue - 275) / 25, 2))
-    twist = -2 * m.sqrt(c7 / (c7 + 25**7)) * cos(90 - 2 * spread)
-    return m.sqrt(dl * dl + dc * dc + dh * dh + twist * dc * dh)
-
-
-def difference_columns(one: list[Column], two: list[Column]) -> Column:
-    """Truncated difference of two sRGB colours, as a Column."""
-    return F.floor(ciede2000(lab(tuple(one), _Columns), lab(tuple(two), _Columns), _Columns)).cast("int")
+    dh = 2 * math.sqrt(c1 * c2) * math.sin(math.radians(turn / 2)) / (1 + 0.015 * chroma * t)
+    spread = 30 * math.exp(-(((hue - 275) / 25) ** 2))
+    twist = -2 * math.sqrt(chroma**7 / (chroma**7 + 25**7)) * math.sin(math.radians(2 * spread))
+    return math.sqrt(dl * dl + dc * dc + dh * dh + twist * dc * dh)
 
 
 def costs(palette: int) -> list[int]:

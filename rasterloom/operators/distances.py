@@ -49,7 +49,7 @@ def changed_cells(docs: DataFrame) -> DataFrame:
     pages = screens.packed_hgr(screens.packed_hgr(pages, "cells", "packed"), "before", "old")
     mask = lambda a: f"CASE WHEN o % 2 = 0 THEN {bits.masked('HGR', a, 0)} ELSE {bits.masked('HGR', a, 1)} END"
     src, dst = mask("old[cast(o / 2 as int)]"), mask("packed[cast(o / 2 as int)]")
-    each = F.expr(f"filter(transform(sequence(0, 255), o -> struct(o as off, {src} as src, {dst} as dst)), x -> x.src <> x.dst AND (x.off & 127) < 120)")
+    each = F.expr(f"filter(transform(sequence(0, 255), o -> named_struct('off', o, 'src', {src}, 'dst', {dst})), x -> x.src <> x.dst AND (x.off & 127) < 120)")
     flat = pages.select("movie", "frame", "page", "cells", "packed", F.explode(each).alias("x"))
     return flat.select("movie", "frame", "page", "x.off", (F.col("x.off") % 2).cast("int").alias("byte"), "x.src", "x.dst", F.expr("packed[cast(x.off / 2 as int)]").alias("packed"), F.expr("cells[x.off]").alias("value"))
 

@@ -80,14 +80,18 @@ def _duck_pixels(mode: str) -> str:
     return f"SELECT byte, masked, {_PIXELS.format(n=bits.PIXELS[mode])} AS pixels FROM (SELECT range // {n} AS byte, range % {n} AS masked, masked AS m, {dots} AS dots, {phase} AS phase FROM range({len(phases) * n}))"
 
 
-def _duck_distance(n: int, palette: int) -> str:
-    """Columns d1 to dn, the distances of prefixes of a and b; dn is the whole one."""
-    table = "[" + ", ".join(map(str, colour.costs(palette))) + "]"
-    out = ["0 AS d0"]
+def _duck_distance(n: int, palette: int, pairs: str) -> str:
+    """pairs (..., a, b) with dn, the distance of pixels a and b. One subquery a step: an alias reused in place would be spelled out each time."""
+    costs = colour.costs(palette)
+    low, high = ("'" + "".join(chr(c + 32) for c in part).replace("'", "''") + "'" for part in ([min(c, 90) for c in costs], [c - min(c, 90) for c in costs]))
+    out = f"SELECT *, 0 AS d0 FROM ({pairs})"
     for i in range(1, n + 1):
-        cost = f"d{i - 1} + {table}[a[{i}] * 16 + b[{i}] + 1]"
-        out.append(f"{cost} AS d1" if i == 1 else f"least({cost}, CASE WHEN a[{i}] = b[{i - 1}] AND a[{i - 1}] = b[{i}] THEN d{i - 2} + 1 ELSE 1048576 END) AS d{i}")
-    return ", ".join(out)
+        at = f"(a[{i}] * 16 + b[{i}] + 1)::INTEGER"
+        step = f"d{i - 1} + ascii({low}[{at}]) + ascii({high}[{at}]) - 64"
+        if i > 1:
+            step = f"least({step}, CASE WHEN a[{i}] = b[{i - 1}] AND a[{i - 1}] = b[{i}] THEN d{i - 2} + 1 ELSE 1048576 END)"
+        out = f"SELECT *, {step} AS d{i} FROM ({out})"
+    return out
 
 
 _HEX = "SELECT byte::INTEGER AS byte, masked, array_to_string(list_transform(pixels, lambda p: printf('%X', p)), '') AS pixels FROM ({})"
@@ -110,12 +114,9 @@ def colour_pixels_dhgr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p.palette_id, p.a, p.b, p.cost, 5 * p.cost AS error_cost FROM " + values("palette_id int, a int, b int, cost int", [(p, i // 16, i % 16, c) for p in colour.PALETTES for i, c in enumerate(colour.costs(p))]) + " p")
 def substitute_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CIEDE2000 as Column expressions over all pairs of a palette's colours; the SQL has the numbers."""
-    pal = spark.createDataFrame(colour.palette_rows(), "palette_id int, palette string, code int, name string, r int, g int, b int").drop("palette", "name")
-    one, two = pal.toDF("palette_id", "a", "r1", "g1", "b1"), pal.toDF("palette_id", "b", "r2", "g2", "b2")
-    pairs = one.join(two, "palette_id")
-    cost = colour.difference_columns([F.col(c) for c in ("r1", "g1", "b1")], [F.col(c) for c in ("r2", "g2", "b2")])
-    return pairs.select("palette_id", "a", "b", cost.alias("cost"), (5 * cost).alias("error_cost"))
+    """What it costs to show one colour for another: 512 numbers that follow from the palettes."""
+    rows = [(p, i // 16, i % 16, c) for p in colour.PALETTES for i, c in enumerate(colour.costs(p))]
+    return spark.createDataFrame(rows, "palette_id int, a int, b int, cost int").withColumn("error_cost", 5 * F.col("cost"))
 
 
 def colour_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +125,8 @@ def colour_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("SELECT palette_id, a, b, cost FROM " + values("palette_id int, a int, b int, cost int", [(p, i // 16, i % 16, c) for p in colour.PALETTES for i, c in enumerate(colour.costs(p))]))(colour_diff)
 
+_SEEN = "SELECT m.*, x.pixels AS a, y.pixels AS b FROM (SELECT DISTINCT byte, least(src, dst) AS lo, greatest(src, dst) AS hi FROM moved) m JOIN shown x ON x.byte = m.byte AND x.masked = lo JOIN shown y ON y.byte = m.byte AND y.masked = hi"
+_TRIED = "SELECT m.*, x.pixels AS a, y.pixels AS b FROM (SELECT DISTINCT byte, src, dst FROM tried WHERE src <> dst) m JOIN shown x ON x.byte = m.byte AND x.masked = src JOIN shown y ON y.byte = m.byte AND y.masked = dst"
 SQL_CHANGES = f"""{SQL_PACKED},
 span AS (SELECT movie, max(frame) AS last FROM cells GROUP BY movie),
 old AS (SELECT p.movie, p.frame + 1 AS frame, page, col, packed FROM packed p JOIN span s ON s.movie = p.movie AND p.frame < s.last),
@@ -131,7 +134,7 @@ side AS (SELECT coalesce(n.movie, o.movie) AS movie, coalesce(n.frame, o.frame)
 cell AS (SELECT movie, frame, page, 2 * col + b.range AS off, b.range AS byte, packed, CASE WHEN b.range = 0 THEN {bits.masked("HGR", "old", 0)} ELSE {bits.masked("HGR", "old", 1)} END AS src, CASE WHEN b.range = 0 THEN {bits.masked("HGR", "packed", 0)} ELSE {bits.masked("HGR", "packed", 1)} END AS dst FROM side CROSS JOIN range(2) b),
 moved AS (SELECT * FROM cell WHERE src <> dst AND (off & 127) < 120),
 shown AS ({_duck_pixels("HGR")}),
-measured AS (SELECT byte, lo, hi, d18 AS dist FROM (SELECT *, {_duck_distance(18, 5)} FROM (SELECT DISTINCT m.byte, least(src, dst) AS lo, greatest(src, dst) AS hi, x.pixels AS a, y.pixels AS b FROM moved m JOIN shown x ON x.byte = m.byte AND x.masked = least(src, dst) JOIN shown y ON y.byte = m.byte AND y.masked = greatest(src, dst)))),
+measured AS (SELECT byte, lo, hi, d18 AS dist FROM ({_duck_distance(18, 5, _SEEN)})),
 weights AS (SELECT m.*, d.dist FROM moved m JOIN measured d ON d.byte = m.byte AND d.lo = least(src, dst) AND d.hi = greatest(src, dst) WHERE d.dist > 0)"""
 
 
@@ -209,7 +212,7 @@ SQL_GAINS = f"""{SQL_CHANGES},
 valued AS (SELECT w.*, coalesce(c.value, 0) AS value FROM weights w LEFT JOIN cells c ON c.movie = w.movie AND c.frame = w.frame AND c.page = w.page AND c.off = w.off),
 top AS (SELECT movie, frame, page, off AS first, value AS content FROM valued QUALIFY row_number() OVER (PARTITION BY movie, frame, page ORDER BY dist DESC, {_NONCE}, off) = 1),
 tried AS (SELECT movie, frame, page, content, off, byte, CASE WHEN byte = 0 THEN {bits.masked("HGR", bits.stored("HGR", "packed", 0, "content"), 0)} ELSE {bits.masked("HGR", bits.stored("HGR", "packed", 1, "content"), 1)} END AS src, dst FROM cell JOIN top USING (movie, frame, page) WHERE (off & 127) < 120 AND off <> first),
-tried_far AS (SELECT byte, src, dst, d18 AS error FROM (SELECT *, {_duck_distance(18, 5)} FROM (SELECT DISTINCT t.byte, src, dst, x.pixels AS a, y.pixels AS b FROM tried t JOIN shown x ON x.byte = t.byte AND x.masked = src JOIN shown y ON y.byte = t.byte AND y.masked = dst WHERE src <> dst))),
+tried_far AS (SELECT byte, src, dst, d18 AS error FROM ({_duck_distance(18, 5, _TRIED)})),
 gains AS (SELECT t.movie, t.frame, t.page, t.content, t.off, coalesce(f.error, 0) - coalesce(w.dist, 0) AS delta FROM tried t LEFT JOIN tried_far f ON f.byte = t.byte AND f.src = t.src AND f.dst = t.dst LEFT JOIN weights w ON w.movie = t.movie AND w.frame = t.frame AND w.page = t.page AND w.off = t.off)"""
 
 
