@@ -38,17 +38,23 @@ def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1 << 62, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
+FACTORS = _factors(BANDS + SLOTS)
+
+
 def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(band fingerprints, minimum hashes) of a text's shingles; repeats count once."""
     h = np.unique(hashes)
-    a, b = _factors(BANDS + SLOTS)
+    a, b = FACTORS
     bands, slots = np.zeros(BANDS, np.int64), np.zeros(SLOTS, np.uint32)
     for i in range(BANDS):
         x = (h ^ b[i]) * a[i]
         first = h[np.argpartition(x, ROWS - 1)[:ROWS]] if len(h) > ROWS else h
         bands[i] = majority(first) ^ int(np.bitwise_xor.reduce(first * a[i]).view(np.int64)) if len(h) else 0
-    for i in range(SLOTS):
-        slots[i] = ((h ^ b[BANDS + i]) * a[BANDS + i]).min() >> np.uint64(32) if len(h) else 0
+    if len(h):
+        low = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(h), 512):  # a very long text takes bounded memory
+            np.minimum(low, ((h[at : at + 512, None] ^ b[BANDS:]) * a[BANDS:]).min(0), out=low)
+        slots = (low >> np.uint64(32)).astype(np.uint32)
     return bands, slots
 
 
