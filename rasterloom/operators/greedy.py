@@ -82,13 +82,14 @@ def store(packed: np.ndarray, content: int) -> np.ndarray:
     return np.stack([even & 16383, (odd >> 8) & 16383], -1).reshape(256)
 
 
-def movie_ops(frames: dict[int, np.ndarray], ops_per_frame: int, distance: Distances, extra: int = 2):
+def movie_ops(frames: dict[int, np.ndarray], ops_per_frame: int, distance: Distances, extra: int = 2, screen: np.ndarray | None = None, priority: np.ndarray | None = None):
     """(frame, page, content, offsets) of a movie's frames (cells [32, 256]), at most so many a frame.
 
     Ties follow a fixed nonce. Up to `extra` more cells take the same content where that brings them closer; what error
-    is left there goes back to the queue, behind all fresh cells.
+    is left there goes back to the queue, behind all fresh cells. screen, priority: the state to go on from, changed in place.
     """
-    screen, priority = np.zeros((32, 256), np.int64), np.zeros((32, 256), np.int64)
+    screen = np.zeros((32, 256), np.int64) if screen is None else screen
+    priority = np.zeros((32, 256), np.int64) if priority is None else priority
     byte = np.arange(256) % 2
     for frame in sorted(frames):
         target, goal = frames[frame], pack(frames[frame])
