@@ -234,3 +234,28 @@ def delta_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, w = _gains(spark, sf_dir)
     return distances.best_offsets(w, docs, 2)
+
+_WALK = "SELECT byte, masked, (masked * 7 + 3) % 8192 AS other"
+
+
+@query(f"WITH shown AS ({_duck_pixels('DHGR')}) SELECT byte::INTEGER AS byte, masked, other, d10::INTEGER AS dist FROM ({_duck_distance(10, 0, _WALK + ', x.pixels AS a, (SELECT y.pixels FROM shown y WHERE y.byte = x.byte AND y.masked = (x.masked * 7 + 3) % 8192) AS b FROM shown x')})")
+def pixel_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each DHGR masked value against one other, in the IIGS palette."""
+    shown = distances.masked_pixels(spark, "DHGR")
+    pairs = shown.select("byte", "masked", ((F.col("masked") * 7 + 3) % 8192).alias("other"), F.col("pixels").alias("a"))
+    both_ = pairs.join(shown.toDF("byte", "other", "b"), ["byte", "other"])
+    return both_.select("byte", "masked", "other", colour.pixel_distance(F.col("a"), F.col("b"), 10, 0).alias("dist"))
+
+
+@query(
+    f"""WITH {SQL_CHANGES}, tried AS (SELECT m.movie, m.frame, m.page, m.off, m.byte, m.dst AS src, CASE WHEN m.byte = 0 THEN {bits.masked("HGR", bits.stored("HGR", "packed", 0, "content"), 0)} ELSE {bits.masked("HGR", bits.stored("HGR", "packed", 1, "content"), 1)} END AS dst FROM (SELECT m.*, (coalesce(c.value, 0) + 1) & 255 AS content FROM moved m LEFT JOIN cells c USING (movie, frame, page, off)) m),
+far AS (SELECT byte, src, dst, d18 AS error FROM ({_duck_distance(18, 5, _TRIED)}))
+SELECT movie, frame, page, count(*) AS cells, sum(coalesce(error, 0))::BIGINT AS total, max(coalesce(error, 0))::INTEGER AS most FROM tried LEFT JOIN far USING (byte, src, dst) GROUP BY ALL"""
+)
+def byte_pair_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What storing the next value instead of the right one would cost, over all cells that change."""
+    cells = distances.changed_cells(table(spark, sf_dir, "documents")).withColumn("content", (F.col("value") + 1).bitwiseAND(F.lit(255)))
+    dst = " ".join(f"WHEN byte = {b} THEN {bits.masked('HGR', bits.stored('HGR', 'packed', b, 'content'), b)}" for b in (0, 1))
+    tried = cells.select("movie", "frame", "page", "byte", F.col("dst").alias("src"), F.expr(f"CASE {dst} END").alias("dst"))
+    far = distances.with_distance(tried)
+    return far.groupBy("movie", "frame", "page").agg(F.count("*").alias("cells"), F.sum("dist").alias("total"), F.max("dist").alias("most"))
