@@ -72,9 +72,9 @@ class WordCache:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the texts together should fit in memory several times (an Arrow batch of them does)."""
-        if len(self.words) > self.limit or len(self.parts) > self.limit:
-            self.words.clear()
-            self.parts.clear()
+        for kept in (self.words, self.parts):
+            if len(kept) > self.limit:
+                kept.clear()
         known = self.words
         cut = [_BLANK.split(t) for t in texts]
         new: set[str] = set()
