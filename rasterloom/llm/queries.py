@@ -124,3 +124,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+def _texts() -> None:
+    from rasterloom.llm import sql
+
+    SQL.update(op4_preferences=sql.PREFERENCES, op6_decontamination=sql.OVERLAPS, op10_embeddings=sql.EMBEDDINGS)
+
+
+_texts()
