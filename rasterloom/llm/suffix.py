@@ -26,7 +26,7 @@ from rasterloom.llm.common import shuffle_width
 from rasterloom.llm.deepshallow import classes, words
 from rasterloom.session import ship
 
-GRAM = 16
+GRAM = 24
 #: Bytes of text in a block, about; blocks that share a key before its strings are spread; bytes hashed at once.
 BLOCK_BYTES, SPREAD, CHUNK = 4 << 20, 64, 1 << 20
 LAST = (1 << 63) - 1
