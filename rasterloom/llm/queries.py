@@ -129,7 +129,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _texts() -> None:
     from rasterloom.llm import sql
 
-    SQL.update(op4_preferences=sql.PREFERENCES, op6_decontamination=sql.OVERLAPS, op10_embeddings=sql.EMBEDDINGS)
+    SQL.update(op4_preferences=sql.PREFERENCES, op6_decontamination=sql.OVERLAPS, op10_embeddings=sql.EMBEDDINGS, op9_licenses=sql.LICENSES)
 
 
 _texts()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rasterloom.llm.decontam import MASKS, SEPARATORS
+from rasterloom.llm.licenses import AGREE, BASE, NOTICES, RARE, postings
 
 _WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '" + SEPARATORS + "'), lambda x: x <> '')"
 _TURN = "'<|' || coalesce(t.role, 'unknown') || E'|>\\n' || coalesce(t.text, '') || E'<|end|>\\n'"
@@ -44,3 +45,33 @@ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.l
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 low AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(low.b, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(low.b, v.vec_id)) AS kept FROM v LEFT JOIN low ON low.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id"""
+
+
+def _rows(rows: list[tuple]) -> str:
+    lit = lambda x: "'" + x + "'" if isinstance(x, str) else "[" + ", ".join(map(lit, x)) + "]" if isinstance(x, list) else str(x)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
+
+
+def _notices() -> list[tuple]:
+    """(notice, label, place of the key phrase, its words)."""
+    out = []
+    for i, (label, key, text) in enumerate(NOTICES):
+        words, key = text.split(), key.split()
+        out.append((i, label, next(p for p in range(len(words)) if words[p : p + len(key)] == key), key))
+    return out
+
+
+_BASE = [(label, " AND ".join(f"w[i + {1 + k}] = '{x}'" for k, x in enumerate(phrase.split()))) for phrase, label in BASE]
+_VOCABULARY = ", ".join(f"'{w}'" for w in sorted({w for _, w, _ in postings()}))
+LICENSES = f"""WITH d AS (SELECT row_number() OVER () AS file, doc_id, {_WORDS} AS w FROM documents),
+based AS (SELECT file, doc_id, w, list_filter(range(len(w)), lambda i: {" OR ".join(f"({test})" for _, test in _BASE)}) AS places, list_sort(list_distinct(flatten([{", ".join(f"CASE WHEN len(list_filter(range(len(w)), lambda i: {test})) > 0 THEN ['{label}'] ELSE [] END" for label, test in _BASE)}]))) AS base FROM d),
+hits AS (SELECT file, w[i + 1] AS word, i AS spot FROM d, unnest(range(len(w))) s(i) WHERE w[i + 1] IN ({_VOCABULARY})),
+words AS (SELECT DISTINCT file, word FROM hits),
+weight AS (SELECT word, ln(((SELECT count(*) FROM d) + 1) / count(*)) AS idf FROM words GROUP BY word),
+rare AS (SELECT file, word, idf FROM words JOIN weight USING (word) QUALIFY row_number() OVER (PARTITION BY file ORDER BY idf DESC, word) <= {RARE}),
+idx AS (SELECT * FROM {_rows(postings())} v(notice, word, place)),
+whole AS (SELECT notice, sum(coalesce(idf, 0)) AS full_idf, count(*) AS n_index FROM (SELECT DISTINCT notice, word FROM idx) LEFT JOIN weight USING (word) GROUP BY notice),
+agree AS (SELECT file, notice, shift, count(*) AS n, sum(idf) AS idf FROM (SELECT DISTINCT file, notice, spot - place AS shift, word, idf FROM hits JOIN rare USING (file, word) JOIN idx USING (word)) GROUP BY ALL),
+need AS (SELECT * FROM {_rows(_notices())} v(notice, label, place, phrase)),
+confirmed AS (SELECT a.file, list(DISTINCT label) AS labels, max(CASE WHEN full_idf > 0 THEN least(1, idf / full_idf) ELSE 0 END) AS score FROM agree a JOIN whole USING (notice) JOIN need USING (notice) JOIN d USING (file) WHERE n >= least({AGREE}, n_index) AND shift + place >= 0 AND list_slice(w, shift + place + 1, shift + place + len(phrase)) = phrase GROUP BY a.file)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word, coalesce(array_to_string(base, ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(base, coalesce(c.labels, [])))), ','), '') AS labels, round(coalesce(c.score, 0), 6)::DOUBLE AS score FROM based LEFT JOIN confirmed c USING (file)"""
