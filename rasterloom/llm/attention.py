@@ -127,22 +127,34 @@ def loss_and_gradient(shape: Shape, flat: np.ndarray, slots: np.ndarray, targets
     g["P"] = np.zeros_like(w["P"])
     g["P"][:length] = dx.sum(0)
     g["E"] = np.zeros_like(w["E"])
-    np.add.at(g["E"], slots, dx)
+    order = np.argsort(slots.ravel(), kind="stable")
+    sorted_ = slots.ravel()[order]
+    begin = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    g["E"][sorted_[begin]] = np.add.reduceat(dx.reshape(-1, d)[order], begin, axis=0)
     return loss, np.concatenate([g[k].ravel() for k in shape.parts()]).astype(np.float32)
 
 
+class Adam:
+    """Adam on one network, a batch of windows at a time."""
+
+    def __init__(self, shape: Shape, flat: np.ndarray):
+        self.shape, self.flat, self.done = shape, flat.copy(), 0
+        self.first, self.second = np.zeros_like(flat), np.zeros_like(flat)
+
+    def step(self, slots: np.ndarray, targets: np.ndarray, rate: float) -> None:
+        _, g = loss_and_gradient(self.shape, self.flat, slots, targets)
+        self.done += 1
+        self.first += 0.1 * (g - self.first)
+        self.second += 0.01 * (g * g - self.second)
+        self.flat -= rate * (self.first / (1 - 0.9**self.done)) / (np.sqrt(self.second / (1 - 0.99**self.done)) + 1e-8)
+
+
 def descend(shape: Shape, flat: np.ndarray, slots: np.ndarray, targets: np.ndarray, epochs: int, rate: float, batch: int = 64, seed: int = 9) -> np.ndarray:
     """Adam over the windows in a fixed random order, the rate falling to a tenth."""
-    flat, first, second = flat.copy(), np.zeros_like(flat), np.zeros_like(flat)
-    rng, steps, done = np.random.default_rng(seed), max(1, epochs * -(-len(slots) // batch)), 0
+    adam, rng, steps = Adam(shape, flat), np.random.default_rng(seed), max(1, epochs * -(-len(slots) // batch))
     for _ in range(epochs):
         order = rng.permutation(len(slots))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            _, g = loss_and_gradient(shape, flat, slots[rows], targets[rows])
-            done += 1
-            first += 0.1 * (g - first)
-            second += 0.01 * (g * g - second)
-            step = rate * (1 - 0.9 * done / steps)
-            flat -= step * (first / (1 - 0.9**done)) / (np.sqrt(second / (1 - 0.99**done)) + 1e-8)
-    return flat.astype(np.float32)
+            adam.step(slots[rows], targets[rows], rate * (1 - 0.9 * (adam.done + 1) / steps))
+    return adam.flat.astype(np.float32)

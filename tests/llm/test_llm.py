@@ -282,6 +282,22 @@ def test_lm(spark, odd, none):
     assert lm.score(none, tokenizer_path()).count() == 0
 
 
+def small_vocabulary(spark, shape):
+    from tokenizers import Tokenizer
+
+    size = Tokenizer.from_file(tokenizer_path()).get_vocab_size()
+    return lm.Vocabulary(np.ones(size + 1), np.zeros(size + 1, bool), shape)
+
+
+def test_lm_learns_from_every_training_document(spark):
+    from rasterloom.llm import attention
+
+    shape = attention.Shape(4, 16, 64, 16, 8)
+    docs = spark.range(0, 6000).select(F.col("id").alias("doc_id"), F.lit(" ".join(["the"] * 15)).alias("text"))
+    _, seen = lm.learn(docs, tokenizer_path(), small_vocabulary(spark, shape), shape, 5100)
+    assert seen == 16 * sum(not lm.held_out(d) for d in range(6000))  # "the" is one subword; 15 and the end
+
+
 def test_attention_gradient():
     from rasterloom.llm import attention
 
