@@ -1,9 +1,9 @@
 """Licence scan by a positional rare-token index, with DataFrame functions only.
 
 The index holds the words of licence notices with their places. One pass over the texts keeps, for each file, the places
-of index words and the base phrases. Document frequencies over all files rank them. A file's rarest index words look up
-their postings, which are intersected by relative position: a notice is a candidate where several of its rare words
-stand at the same shift. It is confirmed if its mandatory key phrase stands there too, word for word.
+of index words, the base phrases and the notices' key phrases. A key phrase that stands in a file, word for word, gives
+its notice a shift; the notice's postings are then held against the file's places at that shift, all of them, and it is
+confirmed where several of its words agree. Document frequencies over all files weigh the words in the score.
 
 Nulls and edges: a null text is empty; a file without words has no places, no labels and score 0; null ids and
 repeated rows are kept, each row on its own; an empty table gives an empty result; further columns are not read.
@@ -11,7 +11,7 @@ repeated rows are kept, each row on its own; an empty table gives an empty resul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import materialise
@@ -35,8 +35,8 @@ NOTICES = (
 )
 # Words of the notices that are too common to look up.
 COMMON = ("a", "and", "any", "are", "as", "by", "for", "in", "is", "it", "may", "not", "of", "or", "that", "the", "this", "to", "under", "with", "you")
-#: A file's rarest index words that are looked up, and how many must agree on a shift.
-RARE, AGREE = 16, 3
+#: How many index words must agree on a shift; and the rank cut of the SQL text, which scan() does not have.
+AGREE, RARE = 3, 16
 
 
 def postings() -> list[tuple[int, str, int]]:
@@ -98,17 +98,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     frequency = words.groupBy("word").agg(F.count("*").alias("df"))  # no more rows than the index has words
     total = files.agg(F.count("*").alias("n"))
     weight = F.broadcast(frequency.crossJoin(F.broadcast(total)).select("word", F.log((F.col("n") + 1) / F.col("df")).alias("idf")))
-    rank = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("idf"), "word"))
-    rare = words.join(weight, "word").withColumn("rank", rank).where(F.col("rank") <= RARE).select("file", "word", "idf")
     index = spark.createDataFrame(postings(), "notice int, word string, place int")
     in_index = index.select("notice", "word").distinct().join(weight, "word", "left").groupBy("notice").agg(F.sum(F.coalesce("idf", F.lit(0.0))).alias("full"), F.count("*").alias("n_index"))
-    agree = hits.join(rare, ["file", "word"]).join(F.broadcast(index), "word").select("file", "notice", (F.col("at") - F.col("place")).alias("shift"), "word", "idf")
-    found = agree.groupBy("file", "notice", "shift", "word").agg(F.first("idf").alias("idf")).groupBy("file", "notice", "shift").agg(F.count("*").alias("n"), F.sum("idf").alias("idf"))
     places = [(i, keys.index(tuple(k)), p) for i, (p, k) in enumerate(map(_key, range(len(NOTICES))))]
     need = spark.createDataFrame([(*p, NOTICES[p[0]][0]) for p in places], "notice int, key int, place int, label string").join(in_index, "notice")
-    candidates = found.join(F.broadcast(need), "notice").where(F.col("n") >= F.least(F.lit(AGREE), F.col("n_index")))
     key = files.select("file", F.explode("keys").alias("k")).select("file", "k.key", F.col("k.at").alias("key_at"))
-    confirmed = candidates.withColumn("key_at", F.col("shift") + F.col("place")).join(key, ["file", "key", "key_at"], "left_semi")
+    shifts = key.join(F.broadcast(need.select("notice", "key", F.col("place").alias("key_place"))), "key").select("file", "notice", (F.col("key_at") - F.col("key_place")).alias("shift")).distinct()
+    due = shifts.join(F.broadcast(index), "notice").select("file", "notice", "shift", "word", (F.col("shift") + F.col("place")).alias("at"))
+    agree = due.join(hits, ["file", "word", "at"]).join(weight, "word")
+    found = agree.groupBy("file", "notice", "shift", "word").agg(F.first("idf").alias("idf")).groupBy("file", "notice", "shift").agg(F.count("*").alias("n"), F.sum("idf").alias("idf"))
+    confirmed = found.join(F.broadcast(need), "notice").where(F.col("n") >= F.least(F.lit(AGREE), F.col("n_index")))
     share = F.when(F.col("full") > 0, F.least(F.lit(1.0), F.col("idf") / F.col("full"))).otherwise(F.lit(0.0))
     named = confirmed.groupBy("file").agg(F.collect_set("label").alias("confirmed"), F.max(share).alias("score"))
 

@@ -190,6 +190,16 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).count() == 0
 
 
+def test_licenses_all_in_one_text(spark):
+    """Every notice counts in full, however many index words the file has and however common they are."""
+    every = " ... ".join(n for _, _, n in licenses.NOTICES)
+    rows = [(0, every)] + [(i, n) for i, (_, _, n) in enumerate(licenses.NOTICES, 1)] + [(20 + i, licenses.NOTICES[8][2]) for i in range(30)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["labels"] == sorted({label for label, _, _ in licenses.NOTICES}) and got[0]["score"] == pytest.approx(1)
+    for i, (label, _, _) in enumerate(licenses.NOTICES, 1):
+        assert label in got[i]["labels"] and got[i]["score"] == pytest.approx(1)
+
+
 def test_preferences(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (0, 2, "user", "a"), (0, 3, "assistant", "good"), (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "b"), (1, 3, "assistant", "bad"), (2, 0, None, None), (4, 0, "user", "same"), (5, 0, "user", "same"), (None, 0, "user", "x"), (6, None, "user", "t"), (6, None, "user", "t")]
     turns = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, pair_id string")
