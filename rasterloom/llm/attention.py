@@ -93,7 +93,7 @@ def _careful(w: dict, slots: np.ndarray, targets: np.ndarray) -> np.ndarray:
 
 
 def loss_and_gradient(shape: Shape, flat: np.ndarray, slots: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean of -ln P(target) over all places, and its gradient."""
+    """Mean of -ln P(target) over all places with a target (others have -1), and its gradient."""
     w = unflatten(shape, flat)
     n, length = slots.shape
     d = shape.d
@@ -103,10 +103,13 @@ def loss_and_gradient(shape: Shape, flat: np.ndarray, slots: np.ndarray, targets
     p = np.exp(z)
     total = p.sum(1, keepdims=True)
     rows, t = np.arange(len(z)), targets.ravel()
-    loss = float((np.log(total[:, 0]) - z[rows, t]).mean())
+    there = t >= 0
+    count = max(1, int(there.sum()))
+    loss = float((np.log(total[:, 0]) - z[rows, t])[there].sum() / count)
     p /= total
     p[rows, t] -= 1
-    p /= len(z)
+    p[~there] = 0
+    p /= count
     g = {"U": y.T @ p, "b": p.sum(0)}
     dy = p @ w["U"].T
     g["B"] = m.T @ dy

@@ -308,6 +308,33 @@ def test_lm_learns_from_every_training_document(spark):
     assert seen == 16 * sum(not lm.held_out(d) for d in range(6000))  # "the" is one subword; 15 and the end
 
 
+def test_lm_learns_short_documents_and_ends(spark):
+    from rasterloom.llm import attention
+
+    shape = attention.Shape(4, 16, 64, 16, 8)
+    ids = [d for d in range(30) if not lm.held_out(d)][:5]
+    rows = list(zip(ids, ["the the", " ".join(["the"] * 20), None, " ".join(["the"] * 15), " ".join(["the"] * 16)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights, seen = lm.learn(docs, tokenizer_path(), small_vocabulary(spark, shape), shape, 5)
+    assert seen == 3 + 21 + 1 + 16 + 17 and np.isfinite(weights).all()
+    _, seen = lm.learn(docs.where(F.col("doc_id") == ids[0]), tokenizer_path(), small_vocabulary(spark, shape), shape, 1)
+    assert seen == 3
+
+
+def test_padding_has_no_gradient():
+    from rasterloom.llm import attention
+
+    shape, rng = attention.Shape(4, 6, 10, 7, 5), np.random.default_rng(0)
+    flat = rng.standard_normal(len(attention.initial(shape, np.zeros(7)))) * 0.5
+    slots, targets = rng.integers(0, 11, (3, 6)), rng.integers(0, 7, (3, 6))
+    targets[1, 4:] = -1
+    other = slots.copy()
+    other[1, 4:] = (other[1, 4:] + 3) % 11
+    (a, g), (b, h) = (attention.loss_and_gradient(shape, flat, s, targets) for s in (slots, other))
+    logs = attention.log_probabilities(attention.unflatten(shape, flat), slots, np.maximum(targets, 0))
+    assert a == pytest.approx(b) and np.allclose(g, h, atol=1e-6) and a == pytest.approx(-logs[targets >= 0].mean())
+
+
 def test_attention_gradient():
     from rasterloom.llm import attention
 
