@@ -321,6 +321,10 @@ def test_lm_learns_short_documents_and_ends(spark):
     assert seen == 3
 
 
+def test_lm_scores_with_a_quarter_of_the_window_before():
+    assert lm.OVERLAP >= 12
+
+
 def test_padding_has_no_gradient():
     from rasterloom.llm import attention
 
