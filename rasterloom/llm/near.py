@@ -9,7 +9,8 @@ compared by SLOTS minimum hashes (an unbiased estimate of the shingles' Jaccard
 and linked at 0.8 or more.
 
 A group that meets is streamed past its leaders: a text links with each leader it is similar to, and leads itself if
-there is none. So a group costs its size times its distinct leaders, and memory is that of the leaders.
+there is none. Most copies are joined by this. Then, in each group whose texts are not all joined, every pair of texts
+that are still apart is compared; a group over BLOCK texts is dealt to pairs of blocks, where every two texts meet.
 
 Exact copies are one text from the start. Links of both kinds make components, and the smallest id of each stays.
 
@@ -31,6 +32,7 @@ from rasterloom.llm.components import connected_components
 from rasterloom.llm.simhash import fingerprint_links, majority, shingle_hashes
 
 BANDS, ROWS, SLOTS = 12, 3, 192
+BLOCK = 1024
 
 
 def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +106,50 @@ def stream_links(batches: Iterable, similarity: float) -> Iterator:
         out = []
 
 
+def apart_links(batches: Iterable, similarity: float) -> Iterator:
+    """Links (a, b) of sorted rows (band, key, x, y, mine, node, part, slots): similar texts of blocks x and y whose parts differ."""
+    import pyarrow as pa
+
+    def compare(rows: list) -> list:
+        (_, _, x, y), out = rows[0][0], []
+        one, two = [r for r in rows if r[1] == x], [r for r in rows if r[1] == y]
+        part = np.array([r[3] for r in two], np.int64)
+        slots = np.frombuffer(b"".join(r[4] for r in two), np.uint32).reshape(-1, SLOTS)
+        for i, (_, _, node, mine, sketch_) in enumerate(one):
+            rest = np.flatnonzero(part != mine)
+            if x == y:
+                rest = rest[rest > i]
+            near = rest[(slots[rest] == np.frombuffer(sketch_, np.uint32)).mean(1) >= similarity] if len(rest) else rest
+            out += [(node, two[j][2]) for j in near.tolist()]
+        return out
+
+    def made(out: list):
+        cols = list(zip(*out)) or [[], []]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+    rows: list = []
+    for batch in batches:
+        for r in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            if rows and rows[0][0] != r[:4]:
+                yield made(compare(rows))
+                rows = []
+            rows.append((r[:4], *r[4:]))
+    if rows:
+        yield made(compare(rows))
+
+
+def _apart(met: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): similar texts of a fingerprint that the links so far leave in different parts."""
+    key = ["band", "key"]
+    named = met.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).select(*key, "node", "part", "slots")
+    mixed = named.groupBy(*key).agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select(*key, F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    # Block pair (x, y), x <= y: a text of block m goes to (m, m..) and to (0..m, m).
+    both = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("x"), F.greatest(o, F.col("mine")).alias("y")))
+    dealt = named.join(mixed, key).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("to", F.explode(both)).select(*key, "to.x", "to.y", "mine", "node", "part", "slots")
+    group = [*key, "x", "y"]
+    return dealt.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(lambda batches: apart_links(batches, similarity), "a long, b long").distinct()
+
+
 def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(doc_id, copy, component): component names the near-duplicate group."""
     made, _ = materialise(sketches(docs, shingle), "sketches")
@@ -111,8 +157,9 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: i
     texts, _ = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     met = texts.select(F.posexplode("bands").alias("band", "key"), "node", "first", "slots")
     shared = met.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    met = met.join(shared, ["band", "key"]).repartition("band", "key").sortWithinPartitions("band", "key", "first", "node").select("band", "key", "node", "slots")
-    by_sketch = met.mapInArrow(lambda batches: stream_links(batches, similarity), "a long, b long")
+    met = met.join(shared, ["band", "key"])
+    in_order = met.repartition("band", "key").sortWithinPartitions("band", "key", "first", "node").select("band", "key", "node", "slots")
+    by_sketch = in_order.mapInArrow(lambda batches: stream_links(batches, similarity), "a long, b long")
     # Links of the whole texts' fingerprints, and from each fingerprint (as a node below zero) to its texts.
     prints = texts.groupBy("fp").agg(F.min("node").alias("node"))
     ends = fingerprint_links(prints.select("fp"), radius)
@@ -121,7 +168,9 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: i
     # A fingerprint can agree by chance where texts are short: these pairs must be similar too.
     slots = texts.select("node", "slots")
     close = pairs.join(slots.toDF("x", "sx"), "x").join(slots.toDF("y", "sy"), "y").mapInArrow(_agreeing(similarity), "a long, b long")
-    parts = connected_components(by_sketch.unionByName(close))
+    links, _ = materialise(by_sketch.unionByName(close).distinct(), "links")
+    apart, _ = materialise(_apart(met, connected_components(links), similarity), "apart")
+    parts = connected_components(links.unionByName(apart))
     component = texts.join(parts, "node", "left").select("copy", F.coalesce("component", "node").alias("component"))
     return made.select("doc_id", "copy").join(component, "copy")
 

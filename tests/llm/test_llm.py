@@ -375,6 +375,35 @@ def test_near_duplicates(spark, odd, none):
     assert near.keep_first(none).count() == 0
 
 
+def edited(rng, words, n):
+    """n of the words changed, far enough apart that each changes five shingles."""
+    at = rng.choice(np.arange(10, len(words) - 10, 10), n, replace=False)
+    return [f"new{rng.integers(1 << 40)}" if i in at else w for i, w in enumerate(words)]
+
+
+def test_near_duplicates_by_a_third(spark):
+    """L is like x and x is like y, L and y are not: one stays, though L leads every group it is in."""
+    rng, rows = np.random.default_rng(12), []
+    for k in range(60):
+        text = [f"w{i}" for i in rng.integers(0, 1 << 40, 304)]
+        x = edited(rng, text, 4)
+        rows += [(10 * k, " ".join(text)), (10 * k + 1, " ".join(x)), (10 * k + 2, " ".join(edited(rng, x, 4)))]
+    kept = near.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [10 * k for k in range(60)]
+
+
+def test_pairs_apart_in_blocks(spark):
+    """Every pair of a group over a block is compared."""
+    near.BLOCK, before = 8, near.BLOCK
+    try:
+        same = np.zeros(near.SLOTS, np.uint32).tobytes()
+        met = spark.createDataFrame([(0, 5, i, same) for i in range(40)], "band int, key long, node long, slots binary")
+        got = {tuple(sorted((r["a"], r["b"]))) for r in near._apart(met, spark.createDataFrame([(0, 0), (1, 0)], "node long, component long"), 0.8).collect()}
+    finally:
+        near.BLOCK = before
+    assert got == {(i, j) for i in range(40) for j in range(i + 1, 40)} - {(0, 1)}
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
