@@ -5,8 +5,9 @@ at such a radius (a level copies over 0.8 of the fingerprints to both sides), so
 rasterloom.llm.simhash searches it at radius 2, finds only closer pairs. Here each text has BANDS more SimHash
 fingerprints, each over the ROWS shingles that come first under a hash order of its own: similar texts share these
 samples with a chance of similarity ** ROWS, and then the fingerprints are equal. Texts that meet in a fingerprint are
-compared by SLOTS minimum hashes (an unbiased estimate of the shingles' Jaccard similarity, standard error at most 0.03)
-and linked at 0.8 or more.
+compared by SLOTS minimum hashes (an unbiased estimate of the shingles' Jaccard similarity, standard error at most 0.036).
+Those whose estimate is at most MARGIN below the threshold are candidates, and the exact Jaccard similarity of their
+shingle sets decides: 0.8 or more links them.
 
 A group that meets is streamed past its leaders: a text links with each leader it is similar to, and leads itself if
 there is none. Most copies are joined by this. Then, in each group whose texts are not all joined, every pair of texts
@@ -33,6 +34,8 @@ from rasterloom.llm.simhash import fingerprint_links, majority, shingle_hashes
 
 BANDS, ROWS, SLOTS = 12, 3, 192
 BLOCK = 1024
+#: How far below the threshold an estimate may lie: four standard errors at 0.8.
+MARGIN = 0.12
 
 
 def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,13 +63,18 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bands, slots
 
 
+def _copy(text: bytes) -> str:
+    from xxhash import xxh128_hexdigest
+
+    return xxh128_hexdigest(b" ".join(text.lower().split()))
+
+
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(doc_id, copy, fp, bands, slots): copy is equal for equal word sequences (two XXH64 hashes)."""
     rows = columns(docs, doc_id="long", text="string")
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
-        from xxhash import xxh128_hexdigest
 
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
@@ -75,7 +83,7 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 hashes = [shingle_hashes(t, shingle) for t in texts]
                 made = [sketch(h) for h in hashes]
                 yield pa.record_batch(
-                    [part.column(0), pa.array([xxh128_hexdigest(b" ".join(t.lower().split())) for t in texts]), pa.array([majority(h) for h in hashes], pa.int64()), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1].tobytes() for m in made], pa.binary())],
+                    [part.column(0), pa.array([_copy(t) for t in texts]), pa.array([majority(h) for h in hashes], pa.int64()), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1].tobytes() for m in made], pa.binary())],
                     ["doc_id", "copy", "fp", "bands", "slots"],
                 )
 
@@ -150,6 +158,40 @@ def _apart(met: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
     return dealt.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(lambda batches: apart_links(batches, similarity), "a long, b long").distinct()
 
 
+def _exact(pairs: DataFrame, docs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The (a, b) of pairs whose texts' shingle sets have a Jaccard similarity of at least `similarity`."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "copy", "first"), "node")
+    ends, _ = materialise(ends, "ends")
+    rows = columns(docs, doc_id="long", text="string")
+    first = ends.select(F.col("first").alias("_rl_first")).distinct()
+
+    def spell(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                made = utf8(batch.slice(at, 128).column(1))
+                yield pa.record_batch([pa.array([_copy(t) for t in made]), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in made], pa.binary())], ["copy", "shingles"])
+
+    def decide(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            on = []
+            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                on.append(both / max(1, len(x) + len(y) - both) >= similarity)
+            yield pa.record_batch([b.column("a").filter(pa.array(on, pa.bool_())), b.column("b").filter(pa.array(on, pa.bool_()))], ["a", "b"])
+
+    # A text's first row has it, among rows of the same id.
+    spelled = rows.join(first, rows["doc_id"].eqNullSafe(first["_rl_first"]), "left_semi").mapInArrow(spell, "copy string, shingles binary")
+    sets = ends.join(spelled.dropDuplicates(["copy"]), "copy").select("node", "shingles")
+    sets, _ = materialise(sets, "shingles")
+    met = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    return met.mapInArrow(decide, "a long, b long")
+
+
 def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(doc_id, copy, component): component names the near-duplicate group."""
     made, _ = materialise(sketches(docs, shingle), "sketches")
@@ -159,7 +201,7 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: i
     shared = met.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     met = met.join(shared, ["band", "key"])
     in_order = met.repartition("band", "key").sortWithinPartitions("band", "key", "first", "node").select("band", "key", "node", "slots")
-    by_sketch = in_order.mapInArrow(lambda batches: stream_links(batches, similarity), "a long, b long")
+    by_sketch = in_order.mapInArrow(lambda batches: stream_links(batches, similarity - MARGIN), "a long, b long")
     # Links of the whole texts' fingerprints, and from each fingerprint (as a node below zero) to its texts.
     prints = texts.groupBy("fp").agg(F.min("node").alias("node"))
     ends = fingerprint_links(prints.select("fp"), radius)
@@ -167,9 +209,11 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: i
     pairs = named.select("x", "y").unionByName(texts.join(prints.select("fp", F.col("node").alias("y")), "fp").select(F.col("node").alias("x"), "y").where("x <> y"))
     # A fingerprint can agree by chance where texts are short: these pairs must be similar too.
     slots = texts.select("node", "slots")
-    close = pairs.join(slots.toDF("x", "sx"), "x").join(slots.toDF("y", "sy"), "y").mapInArrow(_agreeing(similarity), "a long, b long")
-    links, _ = materialise(by_sketch.unionByName(close).distinct(), "links")
-    apart, _ = materialise(_apart(met, connected_components(links), similarity), "apart")
+    close = pairs.join(slots.toDF("x", "sx"), "x").join(slots.toDF("y", "sy"), "y").mapInArrow(_agreeing(similarity - MARGIN), "a long, b long")
+    near, _ = materialise(by_sketch.unionByName(close).distinct(), "candidates")
+    links, _ = materialise(_exact(near, docs, texts, shingle, similarity), "links")
+    more, _ = materialise(_apart(met, connected_components(links), similarity - MARGIN), "apart")
+    apart, _ = materialise(_exact(more, docs, texts, shingle, similarity), "links")
     parts = connected_components(links.unionByName(apart))
     component = texts.join(parts, "node", "left").select("copy", F.coalesce("component", "node").alias("component"))
     return made.select("doc_id", "copy").join(component, "copy")

@@ -392,6 +392,19 @@ def test_near_duplicates_by_a_third(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [10 * k for k in range(60)]
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs of 0.78 to 0.83: the exact similarity of the shingles decides."""
+    rng, rows, like = np.random.default_rng(13), [], {}
+    for k in range(80):
+        text = [f"w{i}" for i in rng.integers(0, 1 << 40, 304)]
+        other = edited(rng, text, 6)[: 304 - k % 4] if k % 2 else edited(rng, text, 7)[: 304 - k % 3]
+        a, b = ({" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in (text, other))
+        like[k] = len(a & b) / len(a | b) >= 0.8
+        rows += [(10 * k, " ".join(text)), (10 * k + 1, " ".join(other))]
+    kept = {r["doc_id"] for r in near.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: 10 * k + 1 not in kept for k in like} == like and 20 < sum(like.values()) < 60
+
+
 def test_pairs_apart_in_blocks(spark):
     """Every pair of a group over a block is compared."""
     near.BLOCK, before = 8, near.BLOCK
