@@ -227,6 +227,11 @@ def test_resharding(spark, odd, none):
     assert sharding.reshard(none, F.lit(0), 2, 3).count() == 0
 
 
+def test_resharding_keeps_tiny_rows(spark):
+    docs = spark.createDataFrame([(1, "five5"), (2, "")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in sharding.reshard(docs, F.lit(0), 1, 16).collect()) == [1, 2]
+
+
 def test_min_cost_flow():
     flow = sharding.min_cost_flow([10, 2, 0], [4, 4, 4], [[int(i != j) for j in range(3)] for i in range(3)])
     assert [sum(c) for c in zip(*flow)] == [4, 4, 4] and [sum(r) for r in flow] == [10, 2, 0]
