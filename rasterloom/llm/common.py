@@ -49,6 +49,52 @@ def discard(spark: SparkSession, path: str | None) -> None:
         fs.delete(p, True)
 
 
+class Scratch:
+    """Tables that an operator writes for itself: with Scratch() as s, s.keep(df, name); all are deleted at the end.
+
+    What leaves the block must be materialised itself.
+    """
+
+    def __enter__(self) -> Scratch:
+        self.spark, self.paths = None, []
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = materialise(df, name)
+        self.spark = df.sparkSession
+        self.paths.append(path)
+        return out
+
+
+#: Groups that may be sent to every task: those with more than 1/HOT of all rows, so fewer than HOT.
+HOT = 1000
+
+
+def with_groups(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """df joined by its keys with groups, a table of one row per group with its number of rows in df (_rl_n, not kept).
+
+    A plain join with an aggregate would gather a group's rows in one task. Groups with more than 1/HOT of the rows go to
+    the tasks by broadcast instead, so their rows stay where they are. Both tables are read several times.
+    """
+    total, most = groups.agg(F.sum("_rl_n"), F.max("_rl_n")).first()
+    floor = (total or 0) / HOT
+    if not total or most <= floor:
+        return df.join(groups.drop("_rl_n"), keys)
+    hot = F.broadcast(groups.where(F.col("_rl_n") > floor).drop("_rl_n"))
+    rest = df.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col("_rl_n") <= floor).drop("_rl_n"), keys)
+    return df.join(hot, keys).unionByName(rest)
+
+
+def with_least(df: DataFrame, key: str, value: str, name: str, scratch: Scratch) -> DataFrame:
+    """df with the smallest `value` of each row's `key` as the column `name`; rows without a key are dropped."""
+    least = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("_rl_n"))
+    return with_groups(df, scratch.keep(least, "least"), [key])
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps, wholly as joins and minima.
 
-No node's neighbours are ever gathered: each step needs their minimum (combined before the shuffle) and a join that
-adaptive execution can split when one node has very many edges. The edge table is written to the shared folder after
-each round, so a lost executor costs one round at most.
+No node's neighbours are ever gathered: each step needs their minimum (combined before the shuffle), which goes back to
+a node's edges by a join, or by broadcast for the few nodes that have a large share of all edges. The edge table is
+written to the shared folder after each round, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -10,22 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import discard, materialise
+from rasterloom.llm.common import Scratch, discard, materialise, with_least
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame, scratch: Scratch) -> DataFrame:
     """Each node's larger neighbours go to the smallest of its neighbourhood."""
     both = e.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("o")), F.struct(F.col("b").alias("n"), F.col("a").alias("o")))).alias("x")).select("x.n", "x.o")
-    low = both.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("n", "m").alias("m"))
-    return both.where("o > n").join(low, "n").select(F.col("o").alias("a"), F.col("m").alias("b")).distinct()
+    return with_least(both, "n", "o", "m", scratch).where("o > n").select(F.col("o").alias("a"), F.least("n", "m").alias("b")).distinct()
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, scratch: Scratch) -> DataFrame:
     """Each node and its smaller neighbours go to the smallest of them. In e, a > b."""
-    low = e.groupBy("a").agg(F.min("b").alias("m"))
-    kept = low.select("a", F.col("m").alias("b"))
-    moved = e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return kept.unionByName(moved).distinct()
+    moved = with_least(e, "a", "b", "m", scratch).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+    return moved.select("x.a", "x.b").where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,7 +35,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e, path = materialise(e, "edges")
     before = _state(e)
     while before[0]:
-        new, at = materialise(_small(_large(e)), "edges")
+        with Scratch() as scratch:
+            stars = scratch.keep(_large(e, scratch), "stars")
+            new, at = materialise(_small(stars, scratch), "edges")
         discard(spark, path)
         e, path, now = new, at, _state(new)
         if now == before:
