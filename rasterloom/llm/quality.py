@@ -2,8 +2,9 @@
 
 A logistic model on words, word beginnings and text statistics gives each document's own evidence that it is bad. The
 rates of bad documents of each host and path are aggregated over all documents (labels where there are any, else the
-model's probability) and shrunk: a path towards its host, a host towards the global rate, by strengths estimated from
-the spread between sites. A document's logit is then moved by what its path says beyond the global rate.
+model's probability) and shrunk: a path towards its host, a host towards the global rate. How many documents a prior is
+worth is the variance within sites over the variance between them, both estimated from all sites. A document's own
+evidence is left out of its sites' sums; its logit is then moved by what its path says beyond the global rate.
 
 The model is fitted on a sample of at most about `sample` labelled documents, chosen by hash; nothing else is sampled.
 
@@ -20,7 +21,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import materialise, utf8
+from rasterloom.llm.common import discard, materialise, utf8, with_groups
 from rasterloom.session import ship
 
 SAMPLE = 20_000
@@ -129,20 +130,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     return fit(fitted["bad"].to_numpy(), sparse, np.array(fitted["stats"].tolist()), index)
 
 
-def _strength(groups: DataFrame, rate: Column, prior: Column) -> float:
-    """How many documents the prior is worth: from the spread of groups' rates beyond what chance gives (method of moments)."""
-    noise = F.sum(prior * (1 - prior))
-    spread = F.sum(F.col("n") * F.pow(rate - prior, 2))
-    r = groups.agg(noise.alias("noise"), spread.alias("spread"), F.sum("n").alias("n"), F.sum(F.col("n") * prior * (1 - prior)).alias("most"), F.count("*").alias("k")).first()
-    if not r["k"] or not r["most"]:
+def _strength(groups: DataFrame, parent: Column) -> float:
+    """How many documents the prior is worth, of groups (n, e, q): their numbers, sums and sums of squares of the evidence.
+
+    By the method of moments: the variance within groups over the variance of their rates around the parent's, less
+    what chance gives.
+    """
+    rate = F.col("e") / F.col("n")
+    inside, spread = F.sum(F.col("q") - F.col("e") * rate), F.sum(F.col("n") * F.pow(rate - parent, 2))
+    r = groups.agg(inside.alias("inside"), spread.alias("spread"), F.sum("n").alias("n"), F.count("*").alias("k")).first()
+    if not r["k"] or r["n"] <= r["k"]:
         return 1.0
-    between = max((r["spread"] - r["noise"]) / max(1.0, float(r["n"])), 0.0)
-    within = r["most"] / r["n"]
-    return float(min(1e6, max(1.0, within / between - 1))) if between > 0 else 1e6
+    within = max(r["inside"], 0.0) / (r["n"] - r["k"])
+    between = (r["spread"] - r["k"] * within) / r["n"]
+    return float(min(1e6, max(1.0, within / between))) if between > 0 else 1e6
 
 
 def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, logit, host_rate, path_rate, p_bad): a document's own log-odds, its sites' shrunk rates, and the outcome.
+    """(doc_id, logit, host_rate, path_rate, p_bad): a document's own log-odds, the shrunk rates of its sites' others, and the outcome.
 
     labels: doc_id, bad. host, path: of docs' columns; a path belongs to its host.
     """
@@ -158,22 +163,28 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample
             z = [model.logit(t) for t in utf8(b.column("text"))] if model else [float("-inf")] * b.num_rows
             yield pa.record_batch([b.column("doc_id"), b.column("host"), b.column("path"), pa.array(z, pa.float64())], ["doc_id", "host", "path", "logit"])
 
-    own, _ = materialise(rows.mapInArrow(logits, "doc_id long, host string, path string, logit double"), "logits")
+    own, path_of_own = materialise(rows.mapInArrow(logits, "doc_id long, host string, path string, logit double"), "logits")
     sigmoid = lambda z: 1 / (1 + F.exp(-z))
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("bad").alias("bad"))
-    evidence = own.join(known, "doc_id", "left").select("host", "path", F.coalesce(F.col("bad").cast("double"), sigmoid(F.col("logit"))).alias("e"))
-    paths, _ = materialise(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("e").alias("e")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    judged, _ = materialise(own.join(known, "doc_id", "left").withColumn("e", F.coalesce(F.col("bad").cast("double"), sigmoid(F.col("logit")))).drop("bad"), "evidence")
+    discard(docs.sparkSession, path_of_own)
+    paths, _ = materialise(judged.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("e").alias("e"), F.sum(F.col("e") * F.col("e")).alias("q")), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("q").alias("q"))
     whole = hosts.agg(F.sum("e").alias("e"), F.sum("n").alias("n")).first()
     prior = min(1 - 1e-6, max(1e-6, (whole["e"] or 0.0) / max(1, whole["n"] or 0)))
-    s = _strength(hosts, F.col("e") / F.col("n"), F.lit(prior))
-    hosts = hosts.select("host", ((F.col("e") + s * prior) / (F.col("n") + s)).alias("host_rate"))
+    s = _strength(hosts, F.lit(prior))
+    hosts = hosts.select("host", F.col("n").alias("hn"), F.col("e").alias("he"))
+    shrunk = lambda e, n, strength, towards: (e + strength * towards) / (n + strength)
     under = paths.join(hosts, "host")
-    t = _strength(under, F.col("e") / F.col("n"), F.col("host_rate"))
-    sites = under.select("host", "path", "host_rate", ((F.col("e") + t * F.col("host_rate")) / (F.col("n") + t)).alias("path_rate"))
+    t = _strength(under, shrunk(F.col("he"), F.col("hn"), s, prior))
+    sites, _ = materialise(under.select("host", "path", "n", "e", "hn", "he", F.col("n").alias("_rl_n")).withColumnsRenamed({"n": "pn", "e": "pe"}), "sites")
     log_odds = lambda p: F.log(p / (1 - p))
-    shift = log_odds(F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), "path_rate"))) - log_odds(F.lit(prior))
-    return own.join(sites, ["host", "path"]).select("doc_id", "logit", "host_rate", "path_rate", sigmoid(F.col("logit") + shift).alias("p_bad"))
+    inside = lambda p: F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p))
+    # Each row without itself.
+    rows = with_groups(judged, sites, ["host", "path"]).withColumn("host_rate", inside(shrunk(F.col("he") - F.col("e"), F.col("hn") - 1, s, prior)))
+    rows = rows.withColumn("path_rate", inside(shrunk(F.col("pe") - F.col("e"), F.col("pn") - 1, t, F.col("host_rate"))))
+    shift = log_odds(F.col("path_rate")) - log_odds(F.lit(prior))
+    return rows.select("doc_id", "logit", "host_rate", "path_rate", sigmoid(F.col("logit") + shift).alias("p_bad"))
 
 
 def bad_labels(labels: DataFrame) -> DataFrame:
