@@ -6,9 +6,8 @@ end mark.
 
 Nulls and edges: turns are in order of turn, role, text, nulls first, repeated rows included; a null role is rendered
 as "unknown", a null text as empty, and a null equals a null when prefixes are compared; a pair with one conversation
-missing has an empty prompt and an empty completion for it (has_both false); rows with a null conversation belong to no
-pair and make one of their own per side (pair id null); an empty table gives an empty result; further columns are not
-read.
+missing has an empty prompt and an empty completion for it (has_both false); rows without a conversation, whose pair is
+null, belong to no pair and give none; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -49,7 +48,7 @@ def preferences(turns: DataFrame, pair: Column, chosen: Column, turn_col: str =
 
     pair, chosen: of the input's columns, the pair's id and whether the row is of the chosen conversation.
     """
-    rows = turns.select(pair.alias("pair_id"), F.coalesce(chosen, F.lit(False)).alias("side"), F.struct(F.col(f"`{turn_col}`").cast("long").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text")).alias("t"))
+    rows = turns.where(pair.isNotNull()).select(pair.alias("pair_id"), F.coalesce(chosen, F.lit(False)).alias("side"), F.struct(F.col(f"`{turn_col}`").cast("long").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text")).alias("t"))
     # One shuffle: both sides of a pair meet in one aggregate, which leaves out the nulls of the other side.
     sides = rows.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.when(F.col("side"), F.col("t")))).alias("c"), F.sort_array(F.collect_list(F.when(~F.col("side"), F.col("t")))).alias("r"))
     least = F.least(F.size("c"), F.size("r"))

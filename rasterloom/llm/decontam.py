@@ -1,9 +1,9 @@
 """Benchmark decontamination by spaced seeds, with DataFrame functions only.
 
 A seed is the hash of an item's tokens at a mask's positions; the others are ignored, so a substitution there does not
-hide the hit. Documents' seeds meet the benchmark's in one join (broadcast while the benchmark's seeds are few,
-shuffled beyond that), and each hit is verified in place: on its diagonal, some window of `window` tokens must agree in
-all but `misses` of them. The two masks hit every window of 13 tokens with up to 2 substitutions, and every shorter
+hide the hit. Documents' seeds meet the benchmark's in one join. While the benchmark's seeds are few they are broadcast,
+and each hit is verified in place; beyond that, places and seeds alone are shuffled, and a document's tokens come back
+once for each of its diagonals. On a hit's diagonal, some window of `window` tokens must agree in all but `misses`. The two masks hit every window of 13 tokens with up to 2 substitutions, and every shorter
 item from 9 tokens up with one.
 
 Nulls and edges: null and empty texts have no tokens and no overlap; items of fewer than `least` tokens are ignored,
@@ -16,16 +16,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import materialise
+
 #: Positions that count; the gaps are ignored. Any two of 13 tokens, or one of 9, can differ and one mask still fits.
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 2, 4, 5))
 #: Benchmark seeds that are broadcast (24 bytes each); more are joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def tokens(text: str) -> Column:
-    """Lower-case runs of letters, digits and characters outside ASCII."""
-    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS), "")
+    """Runs of letters, digits and characters outside ASCII; A-Z are lower-cased, nothing else."""
+    return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, UPPER.lower()), SEPARATORS), "")
 
 
 def _hashed(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
@@ -51,15 +54,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, misses: in
     items = _hashed(benchmark, item_col, item_text_col, "item_id").where(F.size("words") >= least)
     items = items.select("item_id", F.col("words").alias("item"), F.monotonically_increasing_id().alias("row"))
     known = _seeds(items.select("row", F.col("item").alias("words")), "row").select("seed", "row", F.col("at").alias("item_at"))
-    few = known.count() <= BROADCAST_SEEDS
-    if few:
-        known, items = F.broadcast(known), F.broadcast(items)
-    hits = _seeds(_hashed(docs, id_col, text_col, "doc_id"), "doc_id").join(known, "seed").select("doc_id", "words", "row", (F.col("at") - F.col("item_at")).alias("shift"), "item_at")
-    both = hits.join(items, "row")
-    length = F.least(F.size("item"), F.lit(window))
-    # The item's tokens that a window through the hit can hold, and whether the document agrees there.
-    first = F.greatest(F.lit(0), F.col("item_at") - window + 1, -F.col("shift"))
-    last = F.least(F.size("item"), F.size("words") - F.col("shift"), F.col("item_at") + window + max(m[-1] for m in MASKS)) - 1
+    hashed, length = _hashed(docs, id_col, text_col, "doc_id"), F.least(F.size("item"), F.lit(window))
+    if known.count() <= BROADCAST_SEEDS:
+        hits = _seeds(hashed, "doc_id").join(F.broadcast(known), "seed").select("doc_id", "words", "row", (F.col("at") - F.col("item_at")).alias("shift"), "item_at")
+        both = hits.join(F.broadcast(items), "row")
+        # The item's tokens that a window through the hit can hold.
+        least_at, most_at = F.col("item_at") - window + 1, F.col("item_at") + window + max(m[-1] for m in MASKS)
+    else:
+        hashed, _ = materialise(hashed.withColumn("doc", F.monotonically_increasing_id()), "tokens")
+        hits = _seeds(hashed, "doc").select("doc", "at", "seed").join(known, "seed").select("doc", "row", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+        both = hits.join(hashed, "doc").join(items, "row")
+        least_at, most_at = F.lit(0), F.size("item")
+    first = F.greatest(F.lit(0), least_at, -F.col("shift"))
+    last = F.least(F.size("item"), F.size("words") - F.col("shift"), most_at) - 1
     cut = both.select("doc_id", "item_id", length.alias("window"), F.slice("item", first + 1, last - first + 1).alias("x"), F.slice("words", first + F.col("shift") + 1, last - first + 1).alias("y"))
     same = F.zip_with("x", "y", lambda a, b: (a == b).cast("int"))
     cut = cut.where(F.size("x") >= F.col("window")).select("doc_id", "item_id", "window", F.explode(F.array(same)).alias("same"))

@@ -1,9 +1,11 @@
 """Licence scan by a positional rare-token index, with DataFrame functions only.
 
 The index holds the words of licence notices with their places. One pass over the texts keeps, for each file, the places
-of index words, the base phrases and the notices' key phrases. A key phrase that stands in a file, word for word, gives
-its notice a shift; the notice's postings are then held against the file's places at that shift, all of them, and it is
-confirmed where several of its words agree. Document frequencies over all files weigh the words in the score.
+of index words, the base phrases and the notices' key phrases. Words are ranked by their document frequencies over all
+files. A notice is looked up by the word of highest IDF in its mandatory key phrase: without it there is no such phrase,
+so no other word can find more. Each place of that word gives the notice a shift. Where the key phrase stands at that
+shift, word for word, all the notice's postings are held against the file's places there, and it is confirmed if several
+agree. The score is the share of the notice's IDF that does.
 
 Nulls and edges: a null text is empty; a file without words has no places, no labels and score 0; null ids and
 repeated rows are kept, each row on its own; an empty table gives an empty result; further columns are not read.
@@ -32,11 +34,29 @@ NOTICES = (
     ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("isc", "for any purpose with or without fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mit", "this permission notice shall be included", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "warranties of merchantability fitness for a particular purpose and noninfringement", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("bsd", "redistributions of source code must retain", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "endorse or promote products derived from this software", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("apache", "unless required by applicable law or agreed to in writing software", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("gpl", "distributed in the hope that it will be useful", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", "received a copy of the gnu general public license", "you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl", "gnu lesser general public license", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "gnu affero general public license", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("isc", "author disclaims all warranties with regard to this software", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("mpl", "copy of the mpl was not distributed with this file", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "in no event will the authors be held liable", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl", "boost software license", "distributed under the boost software license version 1 0"),
+    ("cc0", "cc0 1 0 universal", "creative commons cc0 1 0 universal public domain dedication"),
+    ("cc-by", "creative commons attribution 4 0 international", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "attribution sharealike", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
 )
 # Words of the notices that are too common to look up.
 COMMON = ("a", "and", "any", "are", "as", "by", "for", "in", "is", "it", "may", "not", "of", "or", "that", "the", "this", "to", "under", "with", "you")
-#: How many index words must agree on a shift; and the rank cut of the SQL text, which scan() does not have.
-AGREE, RARE = 3, 16
+#: How many index words must agree on a shift.
+AGREE = 3
 
 
 def postings() -> list[tuple[int, str, int]]:
@@ -102,8 +122,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     in_index = index.select("notice", "word").distinct().join(weight, "word", "left").groupBy("notice").agg(F.sum(F.coalesce("idf", F.lit(0.0))).alias("full"), F.count("*").alias("n_index"))
     places = [(i, keys.index(tuple(k)), p) for i, (p, k) in enumerate(map(_key, range(len(NOTICES))))]
     need = spark.createDataFrame([(*p, NOTICES[p[0]][0]) for p in places], "notice int, key int, place int, label string").join(in_index, "notice")
+    # Of each notice, the rarest word of its key phrase; a word that no file has is the rarest of all.
+    of_keys = spark.createDataFrame([(i, w, at) for i, (p, k) in enumerate(map(_key, range(len(NOTICES)))) for at, w in enumerate(NOTICES[i][2].split()) if p <= at < p + len(k) and w not in COMMON], "notice int, word string, place int")
+    ranked = of_keys.join(weight, "word", "left").groupBy("notice").agg(F.expr("max_by(struct(word, place), struct(coalesce(idf, double('infinity')), word, place))").alias("a"))
+    shifts = hits.join(F.broadcast(ranked.select("notice", "a.word", "a.place")), "word").select("file", "notice", (F.col("at") - F.col("place")).alias("shift"))
     key = files.select("file", F.explode("keys").alias("k")).select("file", "k.key", F.col("k.at").alias("key_at"))
-    shifts = key.join(F.broadcast(need.select("notice", "key", F.col("place").alias("key_place"))), "key").select("file", "notice", (F.col("key_at") - F.col("key_place")).alias("shift")).distinct()
+    stands = key.join(F.broadcast(need.select("notice", "key", F.col("place").alias("key_place"))), "key").select("file", "notice", (F.col("key_at") - F.col("key_place")).alias("shift")).distinct()
+    shifts = shifts.join(stands, ["file", "notice", "shift"])
     due = shifts.join(F.broadcast(index), "notice").select("file", "notice", "shift", "word", (F.col("shift") + F.col("place")).alias("at"))
     agree = due.join(hits, ["file", "word", "at"]).join(weight, "word")
     found = agree.groupBy("file", "notice", "shift", "word").agg(F.first("idf").alias("idf")).groupBy("file", "notice", "shift").agg(F.count("*").alias("n"), F.sum("idf").alias("idf"))

@@ -66,7 +66,7 @@ def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     turns = table(spark, sf_dir, "conversations")
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
-    found = preferences(turns, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0)
+    found = preferences(turns, F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(F.lit(1)) == 0)
     return found.select("pair_id", "has_both", "n_prompt_turns", "prompt", "chosen", spans("chosen_spans").alias("chosen_spans"), "rejected", spans("rejected_spans").alias("rejected_spans"))
 
 

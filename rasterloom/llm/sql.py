@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rasterloom.llm.decontam import MASKS, SEPARATORS
-from rasterloom.llm.licenses import AGREE, BASE, NOTICES, RARE, postings
+from rasterloom.llm.decontam import MASKS, SEPARATORS, UPPER
+from rasterloom.llm.licenses import AGREE, BASE, NOTICES, postings
 
-_WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '" + SEPARATORS + "'), lambda x: x <> '')"
+_WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '" + SEPARATORS + "'), lambda x: x <> '')"
 _TURN = "'<|' || coalesce(t.role, 'unknown') || E'|>\\n' || coalesce(t.text, '') || E'<|end|>\\n'"
 
 
@@ -21,9 +21,9 @@ def _spans(turns: str) -> str:
     return f"coalesce(array_to_string({each}, ','), '')"
 
 
-PREFERENCES = f"""WITH sides AS (SELECT conv_id // 2 AS pair_id,
-coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (conv_id % 2 = 0), []) AS c,
-coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (conv_id % 2 = 1), []) AS r FROM conversations GROUP BY 1),
+PREFERENCES = f"""WITH sides AS (SELECT (conv_id - (conv_id & 1)) // 2 AS pair_id,
+coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (conv_id & 1 = 0), []) AS c,
+coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (conv_id & 1 = 1), []) AS r FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
 shared AS (SELECT *, coalesce(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])[1] - 1, least(len(c), len(r))) AS n FROM sides),
 cut AS (SELECT pair_id, len(c) > 0 AND len(r) > 0 AS has_both, n::INTEGER AS n_prompt_turns, list_slice(c, 1, n) AS p, list_slice(c, n + 1, len(c)) AS c, list_slice(r, n + 1, len(r)) AS r FROM shared)
 SELECT pair_id, has_both, n_prompt_turns, {_render("p")} AS prompt, {_render("c")} AS chosen, {_spans("c")} AS chosen_spans, {_render("r")} AS rejected, {_spans("r")} AS rejected_spans FROM cut"""
@@ -68,10 +68,9 @@ based AS (SELECT file, doc_id, w, list_filter(range(len(w)), lambda i: {" OR ".j
 hits AS (SELECT file, w[i + 1] AS word, i AS spot FROM d, unnest(range(len(w))) s(i) WHERE w[i + 1] IN ({_VOCABULARY})),
 words AS (SELECT DISTINCT file, word FROM hits),
 weight AS (SELECT word, ln(((SELECT count(*) FROM d) + 1) / count(*)) AS idf FROM words GROUP BY word),
-rare AS (SELECT file, word, idf FROM words JOIN weight USING (word) QUALIFY row_number() OVER (PARTITION BY file ORDER BY idf DESC, word) <= {RARE}),
 idx AS (SELECT * FROM {_rows(postings())} v(notice, word, place)),
 whole AS (SELECT notice, sum(coalesce(idf, 0)) AS full_idf, count(*) AS n_index FROM (SELECT DISTINCT notice, word FROM idx) LEFT JOIN weight USING (word) GROUP BY notice),
-agree AS (SELECT file, notice, shift, count(*) AS n, sum(idf) AS idf FROM (SELECT DISTINCT file, notice, spot - place AS shift, word, idf FROM hits JOIN rare USING (file, word) JOIN idx USING (word)) GROUP BY ALL),
+agree AS (SELECT file, notice, shift, count(*) AS n, sum(idf) AS idf FROM (SELECT DISTINCT file, notice, spot - place AS shift, word, idf FROM hits JOIN weight USING (word) JOIN idx USING (word)) GROUP BY ALL),
 need AS (SELECT * FROM {_rows(_notices())} v(notice, label, place, phrase)),
 confirmed AS (SELECT a.file, list(DISTINCT label) AS labels, max(CASE WHEN full_idf > 0 THEN least(1, idf / full_idf) ELSE 0 END) AS score FROM agree a JOIN whole USING (notice) JOIN need USING (notice) JOIN d USING (file) WHERE n >= least({AGREE}, n_index) AND shift + place >= 0 AND list_slice(w, shift + place + 1, shift + place + len(phrase)) = phrase GROUP BY a.file)
 SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word, coalesce(array_to_string(base, ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(base, coalesce(c.labels, [])))), ','), '') AS labels, round(coalesce(c.score, 0), 6)::DOUBLE AS score FROM based LEFT JOIN confirmed c USING (file)"""
