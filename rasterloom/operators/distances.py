@@ -1,16 +1,24 @@
 """Perceptual distance between what a screen shows and what it should show, cell by cell.
 
-Only the distinct (byte, source, target) triples that occur are measured; the full table is never built. Masked values'
-pixels come from a dimension of 2^15 rows.
+Texts are cut into pages, packed, masked and measured in numpy, some thousand pages at once, in one pass over the
+documents without a shuffle: nothing of a page depends on another row. Each distinct (byte, source, target) of a batch is
+measured once; the full table is never built. HGR has one bank (0), DHGR the main bank (0) and the auxiliary one (1).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterloom.functions import bits, colour
-from rasterloom.sources import screens
+from rasterloom.session import ship
+
+#: Fixed arithmetic for ties: spreads equal priorities over a frame.
+NONCE = "(page * 131 + off * 29 + frame * 17) % 256"
+_CELL = "movie long, frame int, page int, bank int, off int, byte int"
 
 
 def masked_pixels(spark: SparkSession, mode: str) -> DataFrame:
@@ -26,68 +34,150 @@ def masked_pixels(spark: SparkSession, mode: str) -> DataFrame:
     return shown.select("byte", "masked", colour.pixels(F.col("dots"), bits.PIXELS[mode], F.col("phase")).alias("pixels"))
 
 
+def with_distance(cells: DataFrame, mode: str = "HGR", palette: int = 5) -> DataFrame:
+    """cells (byte, src, dst, ...) with dist; equal values are at 0."""
+    ship(cells.sparkSession)
+
+    def run(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from rasterloom.functions.layouts import distances
+
+        for b in batches:
+            byte, src, dst = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("byte", "src", "dst"))
+            yield b.append_column("dist", pa.array(distances(mode, palette)(byte, src, dst), pa.int32()))
+
+    return cells.mapInArrow(run, T.StructType([*cells.schema.fields, T.StructField("dist", T.IntegerType())]))
+
+
 def pair_distances(pairs: DataFrame, mode: str = "HGR", palette: int = 5) -> DataFrame:
-    """(byte, src, dst, dist) of the distinct pairs (byte, src, dst); each unordered pair is measured once."""
-    n = bits.PIXELS[mode]
-    shown = F.broadcast(masked_pixels(pairs.sparkSession, mode))  # 2^15 rows whatever the data
-    low, high = F.least("src", "dst"), F.greatest("src", "dst")
-    once = pairs.select("byte", low.alias("lo"), high.alias("hi")).distinct()
-    both = once.join(shown.toDF("byte", "lo", "a"), ["byte", "lo"]).join(shown.toDF("byte", "hi", "b"), ["byte", "hi"])
-    return both.select("byte", "lo", "hi", colour.pixel_distance(F.col("a"), F.col("b"), n, palette).alias("dist"))
+    """(byte, lo, hi, dist) of the distinct pairs (byte, src, dst); each unordered pair is measured once."""
+    once = pairs.select("byte", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).distinct()
+    return with_distance(once.withColumnsRenamed({"lo": "src", "hi": "dst"}), mode, palette).withColumnsRenamed({"src": "lo", "dst": "hi"})
 
 
-def with_distance(cells: DataFrame, mode: str = "HGR", palette: int = 5) -> DataFrame:
-    """cells (byte, src, dst, ...) with dist; equal values are at 0 without a look."""
-    keyed = cells.withColumn("lo", F.least("src", "dst")).withColumn("hi", F.greatest("src", "dst"))
-    known = pair_distances(cells.where("src <> dst"), mode, palette)
-    return keyed.join(known, ["byte", "lo", "hi"], "left").withColumn("dist", F.coalesce("dist", F.lit(0))).drop("lo", "hi")
+def _by_page(docs: DataFrame, mode: str, schema: str, found: Callable) -> DataFrame:
+    """Rows that found(layout, movie, frame, page, now, before) gives, as columns, for batches of pages of docs (doc_id, text)."""
+    ship(docs.sparkSession)
+    movies = docs.where("text <> ''").select(F.col("doc_id").cast("long").alias("movie"), F.col("text").cast("string").alias("text"))
 
+    def run(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-def changed_cells(docs: DataFrame) -> DataFrame:
-    """(movie, frame, page, off, byte, src, dst, packed, value): visible cells whose masked values differ from the frame before."""
-    pages = screens.hgr_changes(docs)
-    pages = screens.packed_hgr(screens.packed_hgr(pages, "cells", "packed"), "before", "old")
-    mask = lambda a: f"CASE WHEN o % 2 = 0 THEN {bits.masked('HGR', a, 0)} ELSE {bits.masked('HGR', a, 1)} END"
-    src, dst = mask("old[cast(o / 2 as int)]"), mask("packed[cast(o / 2 as int)]")
-    each = F.expr(f"filter(transform(sequence(0, 255), o -> named_struct('off', o, 'src', {src}, 'dst', {dst})), x -> x.src <> x.dst AND (x.off & 127) < 120)")
-    flat = pages.select("movie", "frame", "page", "cells", "packed", F.explode(each).alias("x"))
-    return flat.select("movie", "frame", "page", "x.off", (F.col("x.off") % 2).cast("int").alias("byte"), "x.src", "x.dst", F.expr("packed[cast(x.off / 2 as int)]").alias("packed"), F.expr("cells[x.off]").alias("value"))
+        from rasterloom.functions.layouts import Layout, page_batches
 
+        layout = Layout(mode)
+        names = [c.split()[0] for c in schema.split(", ")]
+        kinds = [pa.int64() if c.split()[1] == "long" else pa.int32() for c in schema.split(", ")]
+        for b in batches:
+            ids = b.column(0)
+            for movie, place, now, before in page_batches(layout, ids, b.column(1).to_pylist()):
+                columns = found(layout, place // 32, place % 32, now, before)
+                which = ids.take(pa.array(movie[columns[0]]))
+                yield pa.record_batch([which, *(pa.array(np.ascontiguousarray(c).astype(np.int64 if k == pa.int64() else np.int32)) for c, k in zip(columns[1:], kinds[1:]))], names)
 
-def diff_weights(docs: DataFrame, palette: int = 5) -> DataFrame:
-    """(movie, frame, page, off, dist > 0, packed, value): how far each visible cell is from the new frame."""
-    cells = with_distance(changed_cells(docs), "HGR", palette).where("dist > 0")
-    return cells.select("movie", "frame", "page", "off", "byte", "dist", "packed", "value")
+    return movies.mapInArrow(run, schema)
 
 
-#: Fixed arithmetic for ties: spreads equal priorities over a frame.
-NONCE = "(page * 131 + off * 29 + frame * 17) % 256"
+def _cells(layout, now, before):
+    """(packed columns, wanted and present masked values) of pages, and the places (page row, bank, offset) where these differ."""
+    import numpy as np
+
+    from rasterloom.functions.layouts import HOLE
+
+    packed = layout.pack(now)
+    want, have = layout.mask(packed), layout.mask(layout.pack(before))
+    return packed, want, have, np.nonzero((want != have) & ~HOLE)
+
+
+def changed_cells(docs: DataFrame, mode: str = "HGR") -> DataFrame:
+    """(movie, frame, page, bank, off, byte, src, dst, packed, value): visible cells whose masked values differ from the frame before."""
+
+    def found(layout, frame, page, now, before):
+        packed, want, have, (row, bank, off) = _cells(layout, now, before)
+        return row, frame[row], page[row], bank, off, layout.byte[bank, off], have[row, bank, off], want[row, bank, off], packed[row, off // 2], now[row, bank, off]
+
+    return _by_page(docs, mode, _CELL + ", src long, dst long, packed long, value long", found)
 
 
-def best_offsets(weights: DataFrame, docs: DataFrame, k: int = 2, palette: int = 5) -> DataFrame:
-    """(movie, frame, page, content, off, delta, rank): for each page's worst cell, the k other cells that gain most from its content."""
-    ranked = weights.withColumn("nonce", F.expr(NONCE))
-    top = ranked.groupBy("movie", "frame", "page").agg(F.expr("min_by(struct(off, value), struct(-dist, nonce, off))").alias("t"))
-    top = top.select("movie", "frame", "page", F.col("t.off").alias("first"), F.col("t.value").alias("content"))
-    gains = delta_cells(top, docs, weights, palette)
-    best = F.expr("slice(array_sort(collect_list(struct(delta, nonce, off))), 1, %d)" % k)
-    picked = gains.where("delta < 0").withColumn("nonce", F.expr(NONCE)).groupBy("movie", "frame", "page", "content").agg(best.alias("best"))
-    return picked.select("movie", "frame", "page", "content", F.posexplode("best").alias("rank", "b")).select("movie", "frame", "page", "content", "b.off", "b.delta", (F.col("rank") + 1).alias("rank"))
+def diff_weights(docs: DataFrame, palette: int = 5, mode: str = "HGR") -> DataFrame:
+    """(movie, frame, page, bank, off, byte, dist > 0): how far each visible cell is from the new frame."""
 
+    def found(layout, frame, page, now, before):
+        from rasterloom.functions.layouts import distances
 
-def delta_cells(contents: DataFrame, docs: DataFrame, weights: DataFrame, palette: int = 5) -> DataFrame:
-    """(movie, frame, page, content, off, delta): the error of `content` at each visible cell less the present one.
+        _, want, have, (row, bank, off) = _cells(layout, now, before)
+        byte = layout.byte[bank, off]
+        dist = distances(mode, palette)(byte, have[row, bank, off], want[row, bank, off])
+        on = dist > 0
+        row, bank, off = row[on], bank[on], off[on]
+        return row, frame[row], page[row], bank, off, byte[on], dist[on]
 
-    contents: (movie, frame, page, first, content); the cell `first` is left out. The error compares the target with the
-    content stored against the target itself.
+    return _by_page(docs, mode, _CELL + ", dist int", found)
+
+
+def _gains(layout, mode: str, palette: int, frame, page, now, before):
+    """(page row, bank, content, first, delta) of each page and bank that has a cell to change.
+
+    content: the one of its worst cell, `first`. delta: what storing it at each of the 256 cells would add to the error,
+    0 in holes and at the first. The error compares the target with the content stored against the target itself.
     """
-    pages = screens.packed_hgr(screens.hgr_changes(docs).drop("before"))
-    flat = pages.join(contents, ["movie", "frame", "page"]).select("movie", "frame", "page", "first", "content", "packed", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("off")).where("off & 127 < 120 AND off <> first")
-    p = "packed[cast(off / 2 as int)]"
-    cell = flat.select("movie", "frame", "page", "content", "off", F.expr(p).alias("p"), (F.col("off") % 2).cast("int").alias("byte"))
-    src = " ".join(f"WHEN byte = {b} THEN {bits.masked('HGR', bits.stored('HGR', 'p', b, 'content'), b)}" for b in (0, 1))
-    dst = " ".join(f"WHEN byte = {b} THEN {bits.masked('HGR', 'p', b)}" for b in (0, 1))
-    cell = cell.select("movie", "frame", "page", "content", "off", "byte", F.expr(f"CASE {src} END").alias("src"), F.expr(f"CASE {dst} END").alias("dst"))
-    error = with_distance(cell, "HGR", palette).select("movie", "frame", "page", "content", "off", F.col("dist").alias("error"))
-    now = weights.select("movie", "frame", "page", "off", "dist")
-    return error.join(now, ["movie", "frame", "page", "off"], "left").select("movie", "frame", "page", "content", "off", (F.col("error") - F.coalesce("dist", F.lit(0))).alias("delta"))
+    import numpy as np
+
+    from rasterloom.functions.layouts import HOLE, distances
+
+    measure = distances(mode, palette)
+    packed, want, have, at = _cells(layout, now, before)
+    weight = np.zeros(want.shape, np.int64)
+    weight[at] = measure(layout.byte[at[1], at[2]], have[at], want[at])
+    order = _order(weight, frame, page)
+    first = order.argmax(2)
+    content = np.take_along_axis(now, first[..., None], 2)[..., 0]
+    stored = layout.store(packed, content)
+    row, bank = np.nonzero(weight.any(2))
+    stored, target, weight, first, content = stored[row, bank], want[row, bank], weight[row, bank], first[row, bank], content[row, bank]
+    error = measure(layout.byte[bank].ravel(), stored.ravel(), target.ravel()).reshape(-1, 256)
+    delta = np.where(HOLE, 0, error - weight)
+    delta[np.arange(len(row)), first] = 0
+    return row, bank, content, first, delta
+
+
+def _order(value, frame, page):
+    """Numbers that are larger for larger values, and for equal ones by nonce and offset: [page row, bank, 256]."""
+    import numpy as np
+
+    off = np.arange(256)
+    nonce = (page[:, None] * 131 + off * 29 + frame[:, None] * 17) % 256
+    return (value << 16) + ((255 - nonce) << 8)[:, None] + (255 - off)
+
+
+def page_gains(docs: DataFrame, palette: int = 5, mode: str = "HGR") -> DataFrame:
+    """(movie, frame, page, bank, content, off, delta): what storing the content of a page's worst cell at its others would add to the error."""
+
+    def found(layout, frame, page, now, before):
+        import numpy as np
+
+        from rasterloom.functions.layouts import HOLE
+
+        row, bank, content, first, delta = _gains(layout, mode, palette, frame, page, now, before)
+        i, off = np.nonzero(~HOLE & (np.arange(256) != first[:, None]))
+        return row[i], frame[row[i]], page[row[i]], bank[i], content[i], off, delta[i, off]
+
+    return _by_page(docs, mode, "movie long, frame int, page int, bank int, content long, off int, delta int", found)
+
+
+def best_offsets(docs: DataFrame, k: int = 2, palette: int = 5, mode: str = "HGR") -> DataFrame:
+    """(movie, frame, page, bank, content, off, delta, rank): of page_gains, the k that bring most."""
+
+    def found(layout, frame, page, now, before):
+        import numpy as np
+
+        row, bank, content, _, delta = _gains(layout, mode, palette, frame, page, now, before)
+        best = np.argsort(-_order(-delta[:, None], frame[row], page[row])[:, 0], axis=1)[:, :k]
+        gain = np.take_along_axis(delta, best, 1)
+        i, rank = np.nonzero(gain < 0)
+        return row[i], frame[row[i]], page[row[i]], bank[i], content[i], best[i, rank], gain[i, rank], rank + 1
+
+    return _by_page(docs, mode, "movie long, frame int, page int, bank int, content long, off int, delta int, rank int", found)

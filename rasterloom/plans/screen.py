@@ -9,7 +9,7 @@ from rasterloom.functions import bits, colour
 from rasterloom.operators import distances
 from rasterloom.plans.book import both, query, values
 from rasterloom.sources import screens
-from rasterloom.sources.screens import SQL_CELLS, SQL_PACKED, table
+from rasterloom.sources.screens import SQL_CELLS, SQL_PACKED, SQL_PACKED_DHGR, table
 
 BASE = "8192 * (p.id + 1) + 1024 * (y.id % 8) + 128 * ((y.id % 64) >> 3) + 40 * (y.id >> 6)"
 both("base_addr", f"SELECT p.id AS screen, y.id AS y, {BASE} AS addr FROM {{r192}} y CROSS JOIN {{r2}} p", ranges=(192, 2))
@@ -40,34 +40,34 @@ def src_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_PACKED} SELECT movie, frame, page, sum(packed)::BIGINT AS total, sum(packed * (col + 1))::BIGINT AS weighted, count_if(packed <> 0)::BIGINT AS filled FROM packed GROUP BY ALL")
 def hgr_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(screens.packed_hgr(screens.hgr_pages(table(spark, sf_dir, "documents"))))
+    return _digest(screens.packed_pages(table(spark, sf_dir, "documents")))
 
 
-@query(
-    f"""WITH chars AS (SELECT doc_id AS movie, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM documents WHERE text <> ''),
-cells AS (SELECT movie, i // 15360 AS frame, i % 15360 // 480 AS page, i % 480 // 240 AS aux, i % 240 + CASE WHEN i % 240 >= 120 THEN 8 ELSE 0 END AS off, (unicode(ch) & 127)::BIGINT AS value FROM chars),
-bodies AS (SELECT movie, frame, page, off // 2 AS col, sum(value << (3 + 7 * (2 * (off % 2) + 1 - aux)))::BIGINT AS body FROM cells GROUP BY ALL),
-grid AS (SELECT p.*, c.range AS col, coalesce(b.body, 0) AS body FROM (SELECT DISTINCT movie, frame, page FROM cells) p CROSS JOIN range(128) c LEFT JOIN bodies b ON b.movie = p.movie AND b.frame = p.frame AND b.page = p.page AND b.col = c.range),
-packed AS (SELECT movie, frame, page, col, body + ({bits.dhgr_header("coalesce(lag(body) OVER w, 0)")}) + ({bits.dhgr_footer("coalesce(lead(body) OVER w, 0)")}) AS packed FROM grid WINDOW w AS (PARTITION BY movie, frame, page ORDER BY col))
-SELECT movie, frame, page, sum(packed)::BIGINT AS total, sum(packed * (col + 1))::BIGINT AS weighted, count_if(packed <> 0)::BIGINT AS filled FROM packed GROUP BY ALL"""
-)
+@query(f"WITH {SQL_PACKED_DHGR} SELECT movie, frame, page, sum(packed)::BIGINT AS total, sum(packed * (col + 1))::BIGINT AS weighted, count_if(packed <> 0)::BIGINT AS filled FROM packed GROUP BY ALL")
 def dhgr_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(screens.packed_dhgr(screens.dhgr_pages(table(spark, sf_dir, "documents"))))
+    return _digest(screens.packed_pages(table(spark, sf_dir, "documents"), "DHGR"))
 
 
 @query(f"WITH {SQL_PACKED} SELECT {bits.masked('HGR', 'packed', 0)} AS even_value, {bits.masked('HGR', 'packed', 1)} AS odd_value, count(*) AS n FROM packed GROUP BY ALL")
 def masked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = screens.packed_hgr(screens.hgr_pages(table(spark, sf_dir, "documents"))).select(F.explode("packed").alias("p"))
+    cols = screens.packed_pages(table(spark, sf_dir, "documents")).select(F.explode("packed").alias("p"))
     return cols.groupBy(F.expr(bits.masked("HGR", "p", 0)).alias("even_value"), F.expr(bits.masked("HGR", "p", 1)).alias("odd_value")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT movie, frame, page, 0::BIGINT AS violations FROM (SELECT DISTINCT doc_id AS movie, i // 32 AS frame, i % 32 AS page FROM documents, unnest(range((length(text) + 239) // 240)) t(i))")
+_LEFT, _RIGHT = (f"coalesce({f}(packed) OVER w, 0)" for f in ("lag", "lead"))
+
+
+@query(
+    f"""WITH {SQL_PACKED}, near AS (SELECT movie, frame, page, packed, {bits.hgr_header(_LEFT)} AS header, ({bits.hgr_footer(_RIGHT)}) AS footer FROM packed WINDOW w AS (PARTITION BY movie, frame, page ORDER BY col))
+SELECT movie, frame, page, count_if((packed & 7) <> header OR (packed & {7 << 19}) <> footer)::BIGINT AS violations, count_if(header <> 0)::BIGINT AS headers, count_if(footer <> 0)::BIGINT AS footers FROM near GROUP BY ALL"""
+)
 def pack_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DHGR columns whose header or footer isn't what the neighbour says: none."""
-    pages = screens.packed_hgr(screens.hgr_pages(table(spark, sf_dir, "documents")))
+    """Columns whose header or footer isn't what the neighbour says (none), and how many have any."""
+    pages = screens.packed_pages(table(spark, sf_dir, "documents"))
     left, right = "coalesce(get(packed, c - 1), 0L)", "coalesce(get(packed, c + 1), 0L)"
-    bad = f"size(filter(sequence(0, 127), c -> (packed[c] & 7) <> ({bits.hgr_header(left)}) OR (packed[c] & {7 << 19}) <> ({bits.hgr_footer(right)})))"
-    return pages.select("movie", "frame", "page", F.expr(bad).cast("long").alias("violations"))
+    count = lambda test: F.expr(f"size(filter(sequence(0, 127), c -> {test}))").cast("long")
+    bad = count(f"(packed[c] & 7) <> ({bits.hgr_header(left)}) OR (packed[c] & {7 << 19}) <> ({bits.hgr_footer(right)})")
+    return pages.select("movie", "frame", "page", bad.alias("violations"), count("(packed[c] & 7) <> 0").alias("headers"), count(f"(packed[c] & {7 << 19}) <> 0").alias("footers"))
 
 
 _PIXELS = "list_transform(range({n}), lambda i: ((((dots >> i) & 15) << ((i + phase) % 4)) | (((dots >> i) & 15) >> (4 - (i + phase) % 4))) & 15)"
@@ -125,19 +125,35 @@ def colour_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("SELECT palette_id, a, b, cost FROM " + values("palette_id int, a int, b int, cost int", [(p, i // 16, i % 16, c) for p in colour.PALETTES for i, c in enumerate(colour.costs(p))]))(colour_diff)
 
+_NONCE = distances.NONCE
 _SEEN = "SELECT m.*, x.pixels AS a, y.pixels AS b FROM (SELECT DISTINCT byte, least(src, dst) AS lo, greatest(src, dst) AS hi FROM moved) m JOIN shown x ON x.byte = m.byte AND x.masked = lo JOIN shown y ON y.byte = m.byte AND y.masked = hi"
 _TRIED = "SELECT m.*, x.pixels AS a, y.pixels AS b FROM (SELECT DISTINCT byte, src, dst FROM tried WHERE src <> dst) m JOIN shown x ON x.byte = m.byte AND x.masked = src JOIN shown y ON y.byte = m.byte AND y.masked = dst"
-SQL_CHANGES = f"""{SQL_PACKED},
+
+
+def _by_byte(mode: str, text) -> str:
+    return "CASE byte " + " ".join(f"WHEN {b} THEN {text(b)}" for b in range(len(bits.PHASES[mode]))) + " END"
+
+
+def sql_changes(mode: str, palette: int) -> str:
+    """DuckDB: cells of all pages, those that moved, the distances of the pairs, and the weights."""
+    n = bits.PIXELS[mode]
+    place = "0 AS bank, 2 * col + b.range AS off" if mode == "HGR" else "(b.range + 1) % 2 AS bank, 2 * col + b.range // 2 AS off"
+    masked = lambda a: _by_byte(mode, lambda b: f"({bits.masked(mode, a, b)})")
+    return f"""{SQL_PACKED if mode == "HGR" else SQL_PACKED_DHGR},
 span AS (SELECT movie, max(frame) AS last FROM cells GROUP BY movie),
 old AS (SELECT p.movie, p.frame + 1 AS frame, page, col, packed FROM packed p JOIN span s ON s.movie = p.movie AND p.frame < s.last),
 side AS (SELECT coalesce(n.movie, o.movie) AS movie, coalesce(n.frame, o.frame) AS frame, coalesce(n.page, o.page) AS page, coalesce(n.col, o.col) AS col, coalesce(n.packed, 0) AS packed, coalesce(o.packed, 0) AS old FROM packed n FULL JOIN old o ON n.movie = o.movie AND n.frame = o.frame AND n.page = o.page AND n.col = o.col),
-cell AS (SELECT movie, frame, page, 2 * col + b.range AS off, b.range AS byte, packed, CASE WHEN b.range = 0 THEN {bits.masked("HGR", "old", 0)} ELSE {bits.masked("HGR", "old", 1)} END AS src, CASE WHEN b.range = 0 THEN {bits.masked("HGR", "packed", 0)} ELSE {bits.masked("HGR", "packed", 1)} END AS dst FROM side CROSS JOIN range(2) b),
+cell AS (SELECT movie, frame, page, {place}, b.range AS byte, packed, {masked("old").replace("CASE byte", "CASE b.range")} AS src, {masked("packed").replace("CASE byte", "CASE b.range")} AS dst FROM side CROSS JOIN range({len(bits.PHASES[mode])}) b),
 moved AS (SELECT * FROM cell WHERE src <> dst AND (off & 127) < 120),
-shown AS ({_duck_pixels("HGR")}),
-measured AS (SELECT byte, lo, hi, d18 AS dist FROM ({_duck_distance(18, 5, _SEEN)})),
+shown AS ({_duck_pixels(mode)}),
+measured AS (SELECT byte, lo, hi, d{n} AS dist FROM ({_duck_distance(n, palette, _SEEN)})),
 weights AS (SELECT m.*, d.dist FROM moved m JOIN measured d ON d.byte = m.byte AND d.lo = least(src, dst) AND d.hi = greatest(src, dst) WHERE d.dist > 0)"""
 
 
+SQL_CHANGES = sql_changes("HGR", 5)
+SQL_CHANGES_DHGR = sql_changes("DHGR", 5)
+
+
 @query(f"WITH {SQL_CHANGES} SELECT movie, frame, page, count(*) AS cells, sum(dist)::BIGINT AS total, sum(dist * (off + 1))::BIGINT AS weighted, max(dist)::INTEGER AS most FROM weights GROUP BY ALL")
 def diff_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: how far the new frame is from the one before, holes left out."""
@@ -171,10 +187,11 @@ def diff_no_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("movie", "frame").agg(F.count_if(F.col("off").bitwiseAND(F.lit(127)) >= 120).alias("in_holes"), F.count("*").alias("cells"))
 
 
-@query(f"WITH {SQL_CELLS} SELECT movie, frame, 0::BIGINT AS leaks FROM cells GROUP BY ALL")
+@query(f"WITH {SQL_CELLS} SELECT movie, frame, count_if((off & 127) >= 120)::BIGINT AS leaks, count_if(value <> 0)::BIGINT AS filled FROM cells GROUP BY ALL")
 def hole_leak_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = screens.hgr_pages(table(spark, sf_dir, "documents")).select("movie", "frame", F.posexplode("cells").alias("off", "value"))
-    return cells.groupBy("movie", "frame").agg(F.count_if((F.col("off").bitwiseAND(F.lit(127)) >= 120) & (F.col("value") != 0)).alias("leaks"))
+    """Cells in screen holes that aren't blank (none), and how many aren't in all."""
+    cells = screens.hgr_pages(table(spark, sf_dir, "documents")).select("movie", "frame", "page", F.posexplode("cells").alias("off", "value"))
+    return cells.groupBy("movie", "frame").agg(F.count_if((F.col("off").bitwiseAND(F.lit(127)) >= 120) & (F.col("value") != 0)).alias("leaks"), F.count_if(F.col("value") != 0).alias("filled"))
 
 
 @query(
@@ -195,9 +212,6 @@ def priority_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("movie", "frame", "page").agg(F.sum("priority").alias("priority"), F.max("priority").alias("most")).where("priority > 0")
 
 
-_NONCE = distances.NONCE
-
-
 @query(f"WITH {SQL_CHANGES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY movie, frame ORDER BY dist DESC, {_NONCE}, page, off) AS place FROM weights) SELECT movie, frame, count(*) AS cells, sum(place * (page * 256 + off))::BIGINT AS checksum FROM ranked GROUP BY ALL")
 def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order in which a frame's cells would be stored; the digest weighs each cell by its place."""
@@ -208,32 +222,86 @@ def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.withColumn("place", place).groupBy("movie", "frame").agg(F.count("*").alias("cells"), F.sum(F.col("place") * (F.col("page") * 256 + F.col("off"))).alias("checksum"))
 
 
-SQL_GAINS = f"""{SQL_CHANGES},
-valued AS (SELECT w.*, coalesce(c.value, 0) AS value FROM weights w LEFT JOIN cells c ON c.movie = w.movie AND c.frame = w.frame AND c.page = w.page AND c.off = w.off),
-top AS (SELECT movie, frame, page, off AS first, value AS content FROM valued QUALIFY row_number() OVER (PARTITION BY movie, frame, page ORDER BY dist DESC, {_NONCE}, off) = 1),
-tried AS (SELECT movie, frame, page, content, off, byte, CASE WHEN byte = 0 THEN {bits.masked("HGR", bits.stored("HGR", "packed", 0, "content"), 0)} ELSE {bits.masked("HGR", bits.stored("HGR", "packed", 1, "content"), 1)} END AS src, dst FROM cell JOIN top USING (movie, frame, page) WHERE (off & 127) < 120 AND off <> first),
-tried_far AS (SELECT byte, src, dst, d18 AS error FROM ({_duck_distance(18, 5, _TRIED)})),
-gains AS (SELECT t.movie, t.frame, t.page, t.content, t.off, coalesce(f.error, 0) - coalesce(w.dist, 0) AS delta FROM tried t LEFT JOIN tried_far f ON f.byte = t.byte AND f.src = t.src AND f.dst = t.dst LEFT JOIN weights w ON w.movie = t.movie AND w.frame = t.frame AND w.page = t.page AND w.off = t.off)"""
+def sql_gains(mode: str, changes: str, palette: int) -> str:
+    """DuckDB: what storing each page's worst cell's content at the page's other cells of the bank would add to the error."""
+    n, bank = bits.PIXELS[mode], "" if mode == "HGR" else " AND c.bank = w.bank"
+    stored = _by_byte(mode, lambda b: f"({bits.masked(mode, bits.stored(mode, 'packed', b, 'content'), b)})")
+    return f"""{changes},
+valued AS (SELECT w.*, coalesce(c.value, 0) AS value FROM weights w LEFT JOIN cells c ON c.movie = w.movie AND c.frame = w.frame AND c.page = w.page AND c.off = w.off{bank}),
+top AS (SELECT movie, frame, page, bank, off AS first, value AS content FROM valued QUALIFY row_number() OVER (PARTITION BY movie, frame, page, bank ORDER BY dist DESC, {_NONCE}, off) = 1),
+tried AS (SELECT movie, frame, page, bank, content, off, byte, {stored} AS src, dst FROM cell JOIN top USING (movie, frame, page, bank) WHERE (off & 127) < 120 AND off <> first),
+tried_far AS (SELECT byte, src, dst, d{n} AS error FROM ({_duck_distance(n, palette, _TRIED)})),
+gains AS (SELECT t.movie, t.frame, t.page, t.bank, t.content, t.off, coalesce(f.error, 0) - coalesce(w.dist, 0) AS delta FROM tried t LEFT JOIN tried_far f ON f.byte = t.byte AND f.src = t.src AND f.dst = t.dst LEFT JOIN weights w ON w.movie = t.movie AND w.frame = t.frame AND w.page = t.page AND w.bank = t.bank AND w.off = t.off)"""
 
 
-def _gains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    return docs, distances.diff_weights(docs)
+SQL_GAINS = sql_gains("HGR", SQL_CHANGES, 5)
+SQL_GAINS_DHGR = sql_gains("DHGR", SQL_CHANGES_DHGR, 5)
+_DELTA = "SELECT movie, frame, page, {bank}content, sum(delta)::BIGINT AS total, min(delta)::INTEGER AS best, count_if(delta < 0)::BIGINT AS gaining FROM gains GROUP BY ALL"
+_TOP = "SELECT movie, frame, page, {bank}content, off, delta::INTEGER AS delta, row_number() OVER (PARTITION BY movie, frame, page, bank ORDER BY delta, " + _NONCE + ", off)::INTEGER AS rank FROM gains WHERE delta < 0 QUALIFY rank <= 2"
+_BANK = "bank::INTEGER AS bank, "
+
 
+def _delta_page(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    gains = distances.page_gains(table(spark, sf_dir, "documents"), mode=mode)
+    return gains.groupBy("movie", "frame", "page", "bank", "content").agg(F.sum("delta").cast("long").alias("total"), F.min("delta").alias("best"), F.count_if(F.col("delta") < 0).alias("gaining"))
 
-@query(f"WITH {SQL_GAINS} SELECT movie, frame, page, content, sum(delta)::BIGINT AS total, min(delta)::INTEGER AS best, count_if(delta < 0)::BIGINT AS gaining FROM gains GROUP BY ALL")
+
+@query(f"WITH {SQL_GAINS} {_DELTA.format(bank='')}")
 def delta_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What storing the content of each page's worst cell elsewhere on the page would gain."""
-    docs, w = _gains(spark, sf_dir)
-    top = w.withColumn("nonce", F.expr(_NONCE)).groupBy("movie", "frame", "page").agg(F.expr("min_by(struct(off, value), struct(-dist, nonce, off))").alias("t"))
-    gains = distances.delta_cells(top.select("movie", "frame", "page", F.col("t.off").alias("first"), F.col("t.value").alias("content")), docs, w)
-    return gains.groupBy("movie", "frame", "page", "content").agg(F.sum("delta").cast("long").alias("total"), F.min("delta").alias("best"), F.count_if(F.col("delta") < 0).alias("gaining"))
+    return _delta_page(spark, sf_dir, "HGR").drop("bank")
+
+
+@query(f"WITH {SQL_GAINS_DHGR} {_DELTA.format(bank=_BANK)}")
+def delta_page_dhgr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _delta_page(spark, sf_dir, "DHGR")
 
 
-@query(f"WITH {SQL_GAINS} SELECT movie, frame, page, content, off, delta::INTEGER AS delta, row_number() OVER (PARTITION BY movie, frame, page ORDER BY delta, {_NONCE}, off)::INTEGER AS rank FROM gains WHERE delta < 0 QUALIFY rank <= 2")
+@query(f"WITH {SQL_GAINS} {_TOP.format(bank='')}")
 def topk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, w = _gains(spark, sf_dir)
-    return distances.best_offsets(w, docs, 2)
+    return distances.best_offsets(table(spark, sf_dir, "documents"), 2).drop("bank")
+
+
+@query(f"WITH {SQL_GAINS_DHGR} {_TOP.format(bank=_BANK)}")
+def topk_offsets_dhgr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distances.best_offsets(table(spark, sf_dir, "documents"), 2, mode="DHGR")
+
+
+@query(f"WITH {SQL_CHANGES_DHGR} SELECT movie, frame, page, bank::INTEGER AS bank, count(*) AS cells, sum(dist)::BIGINT AS total, sum(dist * (off + 1))::BIGINT AS weighted, max(dist)::INTEGER AS most FROM weights GROUP BY ALL")
+def diff_weights_dhgr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page and bank: how far the new frame is from the one before."""
+    w = distances.diff_weights(table(spark, sf_dir, "documents"), mode="DHGR")
+    return w.groupBy("movie", "frame", "page", "bank").agg(F.count("*").alias("cells"), F.sum("dist").alias("total"), F.sum(F.col("dist") * (F.col("off") + 1)).alias("weighted"), F.max("dist").alias("most"))
+
+
+def _pair_table(mode: str, palette: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return distances.pair_distances(distances.changed_cells(table(spark, sf_dir, "documents"), mode), mode, palette)
+
+    run.__name__ = f"pair_distance_{mode.lower()}_{colour.PALETTES[palette][0].lower()}"
+    return run
+
+
+for _mode, _palette in (("HGR", 0), ("DHGR", 0), ("DHGR", 5)):  # pair_distance is the fourth
+    query(f"WITH {sql_changes(_mode, _palette)} SELECT byte::INTEGER AS byte, lo, hi, dist::INTEGER AS dist FROM measured")(_pair_table(_mode, _palette))
+
+
+def _tables_sql() -> str:
+    one = "SELECT '{m}' AS mode, '{name}' AS palette, count(*) AS pairs, sum(dist)::BIGINT AS total, max(dist)::INTEGER AS most FROM (WITH {changes} SELECT dist FROM measured)"
+    return " UNION ALL ".join(one.format(m=m, name=name, changes=sql_changes(m, p)) for m in ("HGR", "DHGR") for p, (name, _) in colour.PALETTES.items())
+
+
+@query(_tables_sql())
+def distance_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four distance tables, as far as the frames need them: their sizes and sums."""
+    out = None
+    for mode in ("HGR", "DHGR"):
+        cells = distances.changed_cells(table(spark, sf_dir, "documents"), mode)
+        for palette, (name, _) in colour.PALETTES.items():
+            one = distances.pair_distances(cells, mode, palette).agg(F.count("*").alias("pairs"), F.sum("dist").alias("total"), F.max("dist").alias("most")).select(F.lit(mode).alias("mode"), F.lit(name).alias("palette"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
 
 _WALK = "SELECT byte, masked, (masked * 7 + 3) % 8192 AS other"
 

@@ -1,62 +1,63 @@
 """Frames from text: a document is a movie whose frames hold 7680 characters each, one per visible byte.
 
-A page is one row with its 256 bytes as an array, so packing and neighbours need no shuffle. Address a of a frame is
+A page is one row with its 256 bytes as an array, so packing and neighbours need no shuffle. Pages are cut in numpy, a
+text at a time; packed_hgr and packed_dhgr are the same packing in SQL, for pages from elsewhere. Address a of a frame is
 visible unless (a & 127) >= 120, so a page holds 240 characters. Pages beyond the text are blank and are not listed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import bits
+from rasterloom.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _page(chars: Column, mask: int) -> Column:
-    """256 bytes of up to 240 characters: 120, a hole of 8, 120, a hole of 8."""
-    codes = F.transform(F.split(chars, ""), lambda c: F.ascii(c).bitwiseAND(F.lit(mask)).cast("long"))
-    full = F.concat(codes, F.array_repeat(F.lit(0).cast("long"), 240))
-    hole = F.array_repeat(F.lit(0).cast("long"), 8)
-    return F.concat(F.slice(full, 1, 120), hole, F.slice(full, 121, 120), hole)
+def _pages(docs: DataFrame, mode: str, schema: str, found) -> DataFrame:
+    """(movie, frame, page) and the arrays that found(layout, pages) gives, of every page with text."""
+    ship(docs.sparkSession)
+    movies = docs.where("text <> ''").select(F.col("doc_id").cast("long").alias("movie"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
+        from rasterloom.functions.layouts import Layout
 
-def _strips(docs: DataFrame, size: int) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").alias("movie"), F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % size), F.lit(0)).alias("strips"))
+        layout, names = Layout(mode), [c.split()[0] for c in schema.split(", ")]
+        size = 240 * layout.banks * 1024
+        for b in batches:
+            for movie, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = text.as_py()
+                for at in range(0, len(text), size):
+                    pages = layout.pages(text[at : at + size])
+                    place = np.arange(len(pages)) + at // (240 * layout.banks)
+                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(pages) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in found(layout, pages)]
+                    yield pa.record_batch([pa.array([movie] * len(pages), pa.int64()), pa.array((place // 32).astype(np.int32)), pa.array((place % 32).astype(np.int32)), *lists], names)
+
+    return movies.mapInArrow(run, schema)
 
 
 def hgr_pages(docs: DataFrame) -> DataFrame:
     """(movie, frame, page, cells)."""
-    rows = _strips(docs, 240).select("movie", F.posexplode("strips").alias("at", "chars"))
-    return rows.select("movie", F.shiftright("at", 5).alias("frame"), (F.col("at") % 32).alias("page"), _page(F.col("chars"), 255).alias("cells"))
+    return _pages(docs, "HGR", "movie long, frame int, page int, cells array<long>", lambda layout, pages: [pages[:, 0]])
 
 
 def dhgr_pages(docs: DataFrame) -> DataFrame:
     """(movie, frame, page, main, aux): 240 characters for the main bank, then 240 for the auxiliary one; 7 bits each."""
-    rows = _strips(docs, 480).select("movie", F.posexplode("strips").alias("at", "chars"))
-    return rows.select("movie", F.shiftright("at", 5).alias("frame"), (F.col("at") % 32).alias("page"), _page(F.substring("chars", 1, 240), 127).alias("main"), _page(F.substring("chars", 241, 240), 127).alias("aux"))
-
+    return _pages(docs, "DHGR", "movie long, frame int, page int, main array<long>, aux array<long>", lambda layout, pages: [pages[:, 0], pages[:, 1]])
 
-def hgr_changes(docs: DataFrame) -> DataFrame:
-    """(movie, frame, page, cells, before): each page with the same page of the frame before, where either has text.
 
-    A movie's first frame follows a blank screen. Both come from one row, so no join is needed.
-    """
-    strips = _strips(docs, 240).select("movie", F.explode(F.array("strips")).alias("strips"))
-    n = F.size("strips")
-    at = strips.where(n > 0).select("movie", "strips", F.explode(F.sequence(F.lit(0), F.shiftright(n - 1, 5) * 32 + 31)).alias("at"))
-    now, old = F.coalesce(F.get("strips", F.col("at")), F.lit("")), F.coalesce(F.when(F.col("at") >= 32, F.get("strips", F.col("at") - 32)), F.lit(""))
-    both = at.select("movie", F.shiftright("at", 5).alias("frame"), (F.col("at") % 32).alias("page"), now.alias("now"), old.alias("old")).where("now <> '' or old <> ''")
-    return both.select("movie", "frame", "page", _page(F.col("now"), 255).alias("cells"), _page(F.col("old"), 255).alias("before"))
-
-
-def column_of(i: Column, cells: str) -> Column:
-    """Cell i of an array column, 0 outside it."""
-    return F.coalesce(F.get(cells, i), F.lit(0).cast("long"))
+def packed_pages(docs: DataFrame, mode: str = "HGR") -> DataFrame:
+    """(movie, frame, page, packed): the 128 packed columns of every page with text."""
+    return _pages(docs, mode, "movie long, frame int, page int, packed array<long>", lambda layout, pages: [layout.pack(pages)])
 
 
 def pack_hgr(cells: str) -> Column:
@@ -93,3 +94,10 @@ SQL_PACKED = f"""{SQL_CELLS},
 bodies AS (SELECT movie, frame, page, off // 2 AS col, sum(CASE WHEN off % 2 = 0 THEN value << 3 ELSE ((value & 127) << 12) + ((value & 128) << 4) END)::BIGINT AS body FROM cells GROUP BY ALL),
 grid AS (SELECT p.*, c.range AS col, coalesce(b.body, 0) AS body FROM (SELECT DISTINCT movie, frame, page FROM cells) p CROSS JOIN range(128) c LEFT JOIN bodies b ON b.movie = p.movie AND b.frame = p.frame AND b.page = p.page AND b.col = c.range),
 packed AS (SELECT movie, frame, page, col, body + {bits.hgr_header("coalesce(lag(body) OVER w, 0)")} + ({bits.hgr_footer("coalesce(lead(body) OVER w, 0)")}) AS packed FROM grid WINDOW w AS (PARTITION BY movie, frame, page ORDER BY col))"""
+#: DuckDB: the same for DHGR; bank 0 is the main one. A column's bytes are, by address: aux even, main even, aux odd, main odd.
+SQL_CELLS_DHGR = """chars AS (SELECT doc_id AS movie, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM documents WHERE text <> ''),
+cells AS (SELECT movie, i // 15360 AS frame, i % 15360 // 480 AS page, i % 480 // 240 AS bank, i % 240 + CASE WHEN i % 240 >= 120 THEN 8 ELSE 0 END AS off, (unicode(ch) & 127)::BIGINT AS value FROM chars)"""
+SQL_PACKED_DHGR = f"""{SQL_CELLS_DHGR},
+bodies AS (SELECT movie, frame, page, off // 2 AS col, sum(value << (3 + 7 * (2 * (off % 2) + 1 - bank)))::BIGINT AS body FROM cells GROUP BY ALL),
+grid AS (SELECT p.*, c.range AS col, coalesce(b.body, 0) AS body FROM (SELECT DISTINCT movie, frame, page FROM cells) p CROSS JOIN range(128) c LEFT JOIN bodies b ON b.movie = p.movie AND b.frame = p.frame AND b.page = p.page AND b.col = c.range),
+packed AS (SELECT movie, frame, page, col, body + ({bits.dhgr_header("coalesce(lag(body) OVER w, 0)")}) + ({bits.dhgr_footer("coalesce(lead(body) OVER w, 0)")}) AS packed FROM grid WINDOW w AS (PARTITION BY movie, frame, page ORDER BY col))"""

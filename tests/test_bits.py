@@ -1,7 +1,8 @@
 """Published bit patterns of packed columns, dots and colours."""
 
-from rasterloom.functions import bits, colour
-from rasterloom.operators import greedy
+import numpy as np
+
+from rasterloom.functions import bits, colour, layouts
 
 
 def one(spark, *expressions):
@@ -20,7 +21,7 @@ def test_hgr_apply(spark):
     from rasterloom.sources import screens
 
     assert screens.packed_hgr(row).first()["packed"][99] == 0b0011000000110001111100
-    assert greedy.pack(__import__("numpy").array(cells))[99] == 0b0011000000110001111100
+    assert layouts.Layout("HGR").pack(np.array([cells]))[99] == 0b0011000000110001111100
 
 
 def test_dhgr_pack(spark):
@@ -32,6 +33,8 @@ def test_dhgr_pack(spark):
         row = spark.createDataFrame([(1, 0, 0, main, aux)], "movie long, frame int, page int, main array<bigint>, aux array<bigint>")
         packed = screens.packed_dhgr(row).first()["packed"]
         assert {i: p for i, p in enumerate(packed) if p} == expected
+        packed = layouts.Layout("DHGR").pack(np.array([main, aux]) & 127)
+        assert {i: int(p) for i, p in enumerate(packed) if p} == expected
 
 
 def test_dhgr_masked_update(spark):
@@ -50,7 +53,7 @@ def test_hgr_dots(spark):
     odd = {0b11: 0b111, 0b111: 0b111, 0b1111: 0b1111, 0b00010101011111: 0b10011001100111111, 0b00110101011111: 0b110011001100111111, 0b10110101011111: 0b100110011001100111111, 0b10100000000000: 1 << 20, 0b10000000000000: 3 << 19}
     for byte, cases in enumerate((even, odd)):
         assert one(spark, *[bits.hgr_dots(f"{m}L", byte) for m in cases]) == list(cases.values())
-        assert greedy.dots(__import__("numpy").array(list(cases)), byte).tolist() == list(cases.values())
+        assert layouts._hgr_dots(np.array(list(cases)), byte).tolist() == list(cases.values())
 
 
 def test_colour_window(spark):
@@ -65,7 +68,7 @@ def test_palette_edges(spark):
     from rasterloom.sources import screens
 
     cases = {("even", 0b01000000, 0b10000000): [1, 3, 7, 7, 6, 4], ("even", 0b11000000, 0): [2, 2, 2, 2, 0], ("even", 0b11000000, 1): [2, 6, 14, 14, 12], ("even", 0b11100000, 0): [8, 9, 11, 11, 3, 2, 0], ("odd", 0b01000000, 0b10000000): [4, 12, 13, 13, 9, 1], ("odd", 0b11000000, 1): [8, 9, 11, 11, 3], ("odd", 0b11100000, 0): [2, 6, 14, 14, 12, 8, 0]}
-    shown = greedy.shown()
+    shown = layouts.Layout("HGR").shown()
     for (side, a, b), tail in cases.items():
         byte = int(side == "odd")
         cells = [0] * 256
@@ -77,3 +80,33 @@ def test_palette_edges(spark):
 
 def test_rotations(spark):
     assert one(spark, bits.rol("9L", "1"), bits.ror("9L", "1"), bits.rol("6L", "3")) == [3, 12, 3]
+
+
+def test_layouts_equal_the_expressions(spark):
+    """Masked values and stores in numpy are those of the SQL expressions, bank by bank."""
+    rng = np.random.default_rng(4)
+    for mode in ("HGR", "DHGR"):
+        layout = layouts.Layout(mode)
+        cells = rng.integers(0, layout.value + 1, (1, layout.banks, 256))
+        packed, content = layout.pack(cells), int(rng.integers(0, layout.value + 1))
+        masked, stored = layout.mask(packed), layout.store(packed, np.full((1, layout.banks), content))
+        for bank in range(layout.banks):
+            for off in (0, 1, 100, 255):
+                column, byte = f"{packed[0, off // 2]}L", int(layout.byte[bank, off])
+                got = one(spark, bits.masked(mode, column, byte), bits.masked(mode, bits.stored(mode, column, byte, f"{content}L"), byte))
+                assert got == [masked[0, bank, off], stored[0, bank, off]]
+
+
+def test_page_batches():
+    """Pages come with the frame before; a frame without text follows a full one as blank."""
+    for mode in ("HGR", "DHGR"):
+        layout = layouts.Layout(mode)
+        size = 240 * layout.banks
+        texts = ["a" * (size * 70 + 1), None, "", "b" * 5, "c" * (size * 33)]
+        for batch in (64, 2048):
+            got = list(layouts.page_batches(layout, [1, 2, 3, 4, 5], texts, batch))
+            movie, place, now, before = (np.concatenate(x) for x in zip(*got))
+            assert {int(m): place[movie == m].tolist() for m in np.unique(movie)} == {0: list(range(96)), 3: [0], 4: list(range(64))}
+            assert now[(movie == 0) & (place < 70)][:, :, layouts.VISIBLE].min() == 97 and now[(movie == 0) & (place > 70)].max() == 0
+            assert before[(movie == 0) & (place < 32)].max() == 0 and (before[(movie == 0) & (place >= 32)] == now[(movie == 0) & (place < 64)]).all()
+            assert (before[(movie == 4) & (place >= 32)] == now[(movie == 4) & (place < 32)]).all()

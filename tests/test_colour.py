@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from rasterloom.functions import colour
-from rasterloom.operators import greedy
 
 
 @pytest.mark.parametrize("one, two, expected", [((50, 2.6772, -79.7751), (50, 0, -82.7485), 2.0425), ((50, -1.3802, -84.2814), (50, 0, -82.7485), 1.0), ((50, 2.49, -0.001), (50, -2.49, 0.0011), 7.2195), ((50, 2.5, 0), (50, 0, -2.5), 4.3065), ((60.2574, -34.0099, 36.2677), (60.4626, -34.1751, 39.4387), 1.2644), ((2.0776, 0.0795, -1.135), (0.9033, -0.0636, -0.5514), 0.9082)])
@@ -44,12 +43,24 @@ def test_pixel_distance(spark):
     assert all(r["d"] == full(r["a"], r["b"], cost) for r in got)
 
 
-def test_kernel_agrees_with_plan(spark):
-    from rasterloom.operators.distances import pair_distances
+def test_kernel_agrees_with_expression(spark):
+    """The numpy distances and the SQL dynamic programme, for all modes and palettes."""
+    from pyspark.sql import functions as F
+
+    from rasterloom.functions import bits, layouts
+    from rasterloom.operators.distances import masked_pixels
 
     rnd = np.random.default_rng(2)
-    byte, src, dst = rnd.integers(0, 2, 80), rnd.integers(0, 1 << 14, 80), rnd.integers(0, 1 << 14, 80)
-    mine = greedy.Distances(5)(byte, src, dst)
-    pairs = spark.createDataFrame(list(zip(byte.tolist(), src.tolist(), dst.tolist())), "byte int, src long, dst long")
-    got = {(r["byte"], r["lo"], r["hi"]): r["dist"] for r in pair_distances(pairs).collect()}
-    assert [got[int(k), int(min(x, y)), int(max(x, y))] for k, x, y in zip(byte, src, dst)] == mine.tolist()
+    for mode in ("HGR", "DHGR"):
+        n, shown = 1 << bits.MASKED_BITS[mode], masked_pixels(spark, mode)
+        byte, src, dst = rnd.integers(0, len(bits.PHASES[mode]), 80), rnd.integers(0, n, 80), rnd.integers(0, n, 80)
+        pairs = spark.createDataFrame([(i, int(b), int(s), int(d)) for i, (b, s, d) in enumerate(zip(byte, src, dst))], "i long, byte int, src long, dst long")
+        both = pairs.join(shown.toDF("byte", "src", "a"), ["byte", "src"]).join(shown.toDF("byte", "dst", "b"), ["byte", "dst"])
+        for palette in colour.PALETTES:
+            rows = both.select("i", colour.pixel_distance(F.col("a"), F.col("b"), bits.PIXELS[mode], palette).alias("dist")).collect()
+            mine = layouts.Distances(mode, palette)(byte, src, dst)
+            assert {r["i"]: r["dist"] for r in rows} == dict(enumerate(mine.tolist())) and len(rows) == 80
+    many = rnd.integers(0, 1 << 13, (2, 9000))
+    measure = layouts.Distances("DHGR", 5)
+    whole = measure(many[0] % 4, many[0], many[1])  # a large call measures distinct pairs
+    assert (whole == np.concatenate([measure(m[0] % 4, m[0], m[1]) for m in np.split(many, 9, 1)])).all()
