@@ -1,159 +1,134 @@
 """Greedy store selection: the one step of encoding that depends on its own past, so a kernel runs per movie.
 
-Movies are independent groups. State within one: the shown screen's packed columns, priorities and the frame's weights.
+Movies are independent. State within one: the shown screen, each bank's priorities and the frame's weights. A movie's
+text is read frame by frame and its operations leave in batches, so a long movie takes no more memory than its text.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rasterloom.functions import colour
+from rasterloom.functions.layouts import HOLE, Layout, distances
 from rasterloom.session import ship
-from rasterloom.sources import screens
-
-# Masked widths, pixels and phases of HGR.
-BITS, PIXELS, PHASES = 14, 18, (1, 3)
-HOLE = (np.arange(256) & 127) >= 120
-
-
-def dots(m: np.ndarray, byte: int) -> np.ndarray:
-    """Display dots of masked values: previous byte's last dots, the byte's own, the next byte's first."""
-    late, own = ((m >> 10) & 1, (m >> 3) & 127) if byte == 0 else ((m >> 3) & 1, (m >> 4) & 127)
-    first = np.where(m & 4, (m & 1) * 3 + (m & 2) * 14, (m & 1) + (m & 2) * 7)
-    twice = sum(((own >> i) & 1) * ((7 if i == 6 else 3) << 2 * i) for i in range(7))
-    out = (first & ((8 << late) - 1)) + (twice << (3 + late))
-    at = 17 + ((m >> 11) & 1)
-    return ((out & ~(15 << at)) + ((((m >> 12) & 1) * 3 + ((m >> 13) & 1) * 12) << at)) & 0x1FFFFF
-
-
-def shown() -> np.ndarray:
-    """Colours of every masked value: [byte, masked, pixel]."""
-    m = np.arange(1 << BITS)
-    out = np.empty((2, 1 << BITS, PIXELS), np.int64)
-    for byte, phase in enumerate(PHASES):
-        d = dots(m, byte)
-        for i in range(PIXELS):
-            v, n = (d >> i) & 15, (i + phase) % 4
-            out[byte, :, i] = ((v << n) | (v >> (4 - n))) & 15
-    return out
-
-
-class Distances:
-    """Distances of masked values, by columns of pixels at once."""
-
-    def __init__(self, palette: int):
-        self.cost, self.pixels = np.array(colour.costs(palette)).reshape(16, 16), shown()
-
-    def __call__(self, byte: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(src), np.int64)
-        on = np.flatnonzero(src != dst)
-        if len(on):
-            a, b = self.pixels[byte[on], src[on]], self.pixels[byte[on], dst[on]]
-            last, before = self.cost[a[:, 0], b[:, 0]], np.zeros(len(on), np.int64)
-            for i in range(1, PIXELS):
-                swap = np.where((a[:, i] == b[:, i - 1]) & (a[:, i - 1] == b[:, i]), before + 1, 1 << 20)
-                last, before = np.minimum(last + self.cost[a[:, i], b[:, i]], swap), last
-            out[on] = last
-        return out
-
-
-def pack(cells: np.ndarray) -> np.ndarray:
-    """Packed columns [..., 128] of pages [..., 256]."""
-    even, odd = cells[..., 0::2], cells[..., 1::2]
-    body = (even << 3) + ((odd & 127) << 12) + ((odd & 128) << 4)
-    out = body.copy()
-    out[..., 1:] += ((body[..., :-1] >> 17) & 3) + ((body[..., :-1] >> 9) & 4)
-    out[..., :-1] += (((body[..., 1:] >> 10) & 1) + ((body[..., 1:] >> 2) & 6)) << 19
-    return out
-
-
-def mask(packed: np.ndarray) -> np.ndarray:
-    """Masked values [..., 256] of packed columns."""
-    return np.stack([packed & 16383, (packed >> 8) & 16383], -1).reshape(*packed.shape[:-1], 256)
-
-
-def store(packed: np.ndarray, content: int) -> np.ndarray:
-    """Masked values [256] of a page if content were stored at each offset alone."""
-    even = (packed & ~(255 << 3)) + (content << 3)
-    odd = (packed & ~(255 << 11)) + ((((content & 127) << 1) + (content >> 7)) << 11)
-    return np.stack([even & 16383, (odd >> 8) & 16383], -1).reshape(256)
-
-
-def movie_ops(frames: dict[int, np.ndarray], ops_per_frame: int, distance: Distances, extra: int = 2, screen: np.ndarray | None = None, priority: np.ndarray | None = None):
-    """(frame, page, content, offsets) of a movie's frames (cells [32, 256]), at most so many a frame.
-
-    Ties follow a fixed nonce. Up to `extra` more cells take the same content where that brings them closer; what error
-    is left there goes back to the queue, behind all fresh cells. screen, priority: the state to go on from, changed in place.
-    """
-    screen = np.zeros((32, 256), np.int64) if screen is None else screen
-    priority = np.zeros((32, 256), np.int64) if priority is None else priority
-    byte = np.arange(256) % 2
-    for frame in sorted(frames):
-        target, goal = frames[frame], pack(frames[frame])
-        want, have = mask(goal), mask(pack(screen))
-        weight = distance(np.tile(byte, 32), have.ravel(), want.ravel()).reshape(32, 256)
+
+PAGES = 32
+
+
+def nonce(page, off, frame: int):
+    """Fixed arithmetic for ties: spreads equal priorities over a frame."""
+    return (page * 131 + off * 29 + frame * 17) % 256
+
+
+class Encoder:
+    """What a movie's screen shows, and each bank's priorities: [page, bank, 256]. extra: further offsets of one operation."""
+
+    def __init__(self, mode: str, palette: int, extra: int = 2):
+        self.distance, self.extra = distances(mode, palette), extra
+        self.layout = self.distance.layout
+        self.screen = np.zeros((PAGES, self.layout.banks, 256), np.int64)
+        self.priority = np.zeros_like(self.screen)
+
+    def error(self, target: np.ndarray) -> int:
+        """How far the screen is from the target in all."""
+        have, want = (self.layout.mask(self.layout.pack(x)) for x in (self.screen, target))
+        return int(self.distance(np.broadcast_to(self.layout.byte, have.shape).ravel(), have.ravel(), want.ravel()).sum())
+
+    def operations(self, target: np.ndarray, frame: int, bank: int = 0) -> Iterator[tuple[int, int, list[int]]]:
+        """(page, content, four offsets) that bring a bank closer to the target, the most valuable cells first, until none is left.
+
+        Up to `extra` more cells take the same content where that brings them closer; what error is left there goes back
+        to the queue, behind all fresh cells. Such an error compares the target with itself after the store.
+        """
+        layout, byte = self.layout, self.layout.byte[bank]
+        goal = layout.pack(target)
+        want, have = layout.mask(goal)[:, bank], layout.mask(layout.pack(self.screen))[:, bank]
+        weight = self.distance(np.tile(byte, PAGES), have.ravel(), want.ravel()).reshape(PAGES, 256).astype(np.int64)
         weight[:, HOLE] = 0
+        screen, priority = self.screen[:, bank], self.priority[:, bank]
         priority[weight == 0] = 0
         priority += weight
         page, off = np.nonzero(priority)
-        nonce = lambda p, o: (p * 131 + o * 29 + frame * 17) % 256  # noqa: E731, B023
-        queue = [(0, -int(priority[p, o]), int(nonce(p, o)), int(p), int(o)) for p, o in zip(page, off)]
+        queue = list(zip([0] * len(page), (-priority[page, off]).tolist(), nonce(page, off, frame).tolist(), page.tolist(), off.tolist()))
         heapq.heapify(queue)
-        left, errors = ops_per_frame, {}
-        while queue and left:
+        errors: dict[tuple[int, int], np.ndarray] = {}
+        while queue:
             _, _, _, p, o = heapq.heappop(queue)
             if not priority[p, o]:
                 continue
-            left -= 1
-            content = int(target[p, o])
+            content = int(target[p, bank, o])
             priority[p, o] = weight[p, o] = 0
             screen[p, o] = content
             offsets = [o]
             if (p, content) not in errors:  # the same within a frame
-                errors[p, content] = distance(byte, store(goal[p], content), want[p])
+                stored = layout.store(goal[p], np.full(layout.banks, content))[bank]
+                errors[p, content] = self.distance(byte, stored, want[p]).astype(np.int64)
             error = errors[p, content]
             delta = np.where(HOLE, 0, error - weight[p])
             delta[o] = 0
             near = np.flatnonzero(delta < 0)
-            for q in near[np.lexsort((near, nonce(p, near), delta[near]))].tolist():
+            for q in near[np.lexsort((near, nonce(p, near, frame), delta[near]))].tolist():
                 if not priority[p, q]:
                     continue
                 priority[p, q] = error[q]
                 screen[p, q] = content
                 if error[q]:
-                    heapq.heappush(queue, (1, -int(error[q]), int(nonce(p, q)), p, q))
+                    heapq.heappush(queue, (1, -int(error[q]), int(nonce(p, q, frame)), p, q))
                 offsets.append(q)
-                if len(offsets) > extra:
+                if len(offsets) > self.extra:
                     break
-            yield frame, p + 32, content, offsets + [o] * (4 - len(offsets))
+            yield p + PAGES, content, offsets + [o] * (4 - len(offsets))
 
 
-def encode(docs: DataFrame, ops_per_frame: int, palette: int = 5) -> DataFrame:
-    """(movie, seq, frame, page, content, offsets) of every movie."""
-    ship(docs.sparkSession)
-    pages = screens.hgr_pages(docs)
+def frames(layout: Layout, text: str) -> Iterator[np.ndarray]:
+    """The frames of a movie's text, each [page, bank, 256]."""
+    size = 240 * PAGES * layout.banks
+    for at in range(0, len(text), size):
+        pages = layout.pages(text[at : at + size])
+        yield np.concatenate([pages, np.zeros((PAGES - len(pages), *pages.shape[1:]), pages.dtype)])
 
-    def run(key, t):
-        import pyarrow as pa
 
-        frames: dict[int, np.ndarray] = {}
-        for frame, page, cells in zip(t.column("frame").to_pylist(), t.column("page").to_pylist(), t.column("cells").to_pylist()):
-            frames.setdefault(frame, np.zeros((32, 256), np.int64))[page] = cells
-        rows = [(key[0].as_py(), i, *op) for i, op in enumerate(movie_ops(frames, ops_per_frame, _distances(palette)))]
-        cols = list(zip(*rows)) or [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["movie", "seq", "frame", "page", "content", "offsets"])
+def budgeted(encoder: Encoder, targets: Iterable[np.ndarray], ops_per_frame: int, first: int = 0) -> Iterator[tuple]:
+    """(frame, bank, page, content, offsets), at most so many a frame, the banks in turn with equal shares."""
+    banks = encoder.layout.banks
+    for frame, target in enumerate(targets, first):
+        for bank in range(banks):
+            share = ops_per_frame * (bank + 1) // banks - ops_per_frame * bank // banks
+            for _, op in zip(range(share), encoder.operations(target, frame, bank)):
+                yield (frame, bank, *op)
 
-    return pages.groupBy("movie").applyInArrow(run, "movie long, seq long, frame int, page int, content int, offsets array<int>")
 
+SCHEMA = "movie long, seq long, frame int, bank int, page int, content int, offsets array<int>"
 
-_CACHE: dict[int, Distances] = {}
 
+def encode(docs: DataFrame, ops_per_frame: int, palette: int = 5, mode: str = "HGR") -> DataFrame:
+    """(movie, seq, frame, bank, page, content, offsets) of every movie; a null or empty text gives none. No shuffle."""
+    ship(docs.sparkSession)
+    movies = docs.select(F.col("doc_id").cast("long").alias("movie"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
 
-def _distances(palette: int) -> Distances:
-    if palette not in _CACHE:
-        _CACHE[palette] = Distances(palette)
-    return _CACHE[palette]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+        names = ["movie", "seq", "frame", "bank", "page", "content", "offsets"]
+        rows: list[tuple] = []
+
+        def take():
+            cols = list(zip(*rows)) or [[]] * len(kinds)
+            rows.clear()
+            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+        for b in batches:
+            for movie, text in zip(b.column(0).to_pylist(), b.column(1)):
+                encoder = Encoder(mode, palette)
+                for seq, op in enumerate(budgeted(encoder, frames(encoder.layout, text.as_py() or ""), ops_per_frame)):
+                    rows.append((movie, seq, *op))
+                    if len(rows) >= 20_000:
+                        yield take()
+        yield take()
+
+    return movies.mapInArrow(run, SCHEMA)

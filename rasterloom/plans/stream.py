@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.plans.book import both, query
+from rasterloom.sources import files
 from rasterloom.sources.screens import table
 
 # A stream frame is 2048 bytes, 292 operations of 7 bytes and a four-byte acknowledgement; operation 0 is the header.
@@ -33,13 +36,16 @@ both("av_zip", f"WITH o AS ({STORES}), a AS (SELECT e.event_id + 1 AS seq, 4 + 2
 both("duty_histogram", f"SELECT 4 + 2 * (user_id % 32) AS tick, count(*) AS ops, count(*) * {CYCLES} AS cycles FROM {{events}} GROUP BY 4 + 2 * (user_id % 32)", tables=("events",))
 both("audio_src", "SELECT event_id AS idx, value AS sample FROM {events}", tables=("events",))
 both("audio_mono", "SELECT idx, sum(sample) / count(sample) AS mono FROM (SELECT cast(floor(event_id / 2) AS bigint) AS idx, value AS sample FROM {events}) GROUP BY idx", tables=("events",))
-NEXT_BYTE = "CASE b.id WHEN 0 THEN ((s.page * 64 + s.tick) >> 8) & 255 WHEN 1 THEN (s.page * 64 + s.tick) & 255 WHEN 2 THEN s.content WHEN 3 THEN s.off0 WHEN 4 THEN s.off1 WHEN 5 THEN s.off2 ELSE s.off3 END"
-TICKED = f"WITH s AS (SELECT x.*, 4 + 2 * (x.seq % 32) AS tick FROM ({STORES}) x)"
+#: (tick, page, address) of the handlers, as a debug file names them.
+HANDLERS = [(int(t), int(p), int(a, 16)) for t, p, a in (re.search(r'op_tick_(\d+)_page_(\d+)".*val=0x(\w+)', line).groups() for _, line in files.handler_lines()[4:])]
+_TICKS = ("tick long, page long, address long", HANDLERS)
+NEXT_BYTE = "CASE b.id WHEN 0 THEN s.address >> 8 WHEN 1 THEN s.address & 255 WHEN 2 THEN s.content WHEN 3 THEN s.off0 WHEN 4 THEN s.off1 WHEN 5 THEN s.off2 ELSE s.off3 END"
+TICKED = f"WITH s AS (SELECT x.*, o.tick, o.address FROM ({STORES}) x JOIN {{ops}} o ON o.tick = 4 + 2 * (x.seq % 32) AND o.page = x.page)"
 POS = f"{DIV.format('s.seq', OPS)} * {FRAME} + s.seq % {OPS} * {OP_BYTES}"
-both("op_bytes", f"{TICKED} SELECT s.seq, b.id AS at, {NEXT_BYTE} AS byte FROM s CROSS JOIN {{r7}} b", tables=("events",), ranges=(7,))
+both("op_bytes", f"{TICKED} SELECT s.seq, b.id AS at, {NEXT_BYTE} AS byte FROM s CROSS JOIN {{r7}} b", tables=("events",), ranges=(7,), ops=_TICKS)
 both("stream_tail", f"WITH n AS (SELECT max({POS.replace('s.seq', '(event_id + 1)')}) + {OP_BYTES} AS stop FROM {{events}}) SELECT stop + b.id AS pos, CASE WHEN b.id = 0 THEN 129 WHEN b.id = 1 THEN 215 ELSE 0 END AS byte FROM n CROSS JOIN {{r4096}} b WHERE b.id < 2 + {FRAME} - (stop + 2) % {FRAME}", tables=("events",), ranges=(4096,))
-both("byte_stream", f"{TICKED}, bytes AS (SELECT {POS} + b.id AS pos, {NEXT_BYTE} AS byte FROM s CROSS JOIN {{r7}} b UNION ALL SELECT b.id AS pos, CASE WHEN b.id < 6 THEN 255 ELSE 1 END AS byte FROM {{r7}} b UNION ALL SELECT {DIV.format('s.seq', OPS)} * {FRAME} + {FRAME - 4} + b.id AS pos, CASE b.id WHEN 0 THEN 129 WHEN 1 THEN 250 WHEN 2 THEN 84 + ({DIV.format('s.seq', OPS)} + 1) % 2 ELSE 255 END AS byte FROM s CROSS JOIN {{r4}} b WHERE s.seq % {OPS} = {OPS - 1}) SELECT cast(floor(pos / {FRAME}) AS bigint) AS frame, count(*) AS bytes, sum(byte) AS total, sum(byte * (pos % {FRAME} + 1)) AS weighted FROM bytes GROUP BY cast(floor(pos / {FRAME}) AS bigint)", tables=("events",), ranges=(7, 4))
-both("stream_decode", f"{TICKED}, bytes AS (SELECT {POS} + b.id AS pos, {NEXT_BYTE} AS byte FROM s CROSS JOIN {{r7}} b), parts AS (SELECT cast(floor(pos / {FRAME}) AS bigint) * {OPS} + cast(floor(pos % {FRAME} / {OP_BYTES}) AS bigint) AS seq, pos % {FRAME} % {OP_BYTES} AS place, byte FROM bytes) SELECT seq, sum(CASE place WHEN 0 THEN byte * 256 WHEN 1 THEN byte ELSE 0 END) AS address, sum(CASE WHEN place = 2 THEN byte ELSE 0 END) AS content, sum(CASE WHEN place = 3 THEN byte ELSE 0 END) AS off0, sum(CASE WHEN place = 6 THEN byte ELSE 0 END) AS off3 FROM parts GROUP BY seq", tables=("events",), ranges=(7,))
+both("byte_stream", f"{TICKED}, bytes AS (SELECT {POS} + b.id AS pos, {NEXT_BYTE} AS byte FROM s CROSS JOIN {{r7}} b UNION ALL SELECT b.id AS pos, CASE WHEN b.id < 6 THEN 255 ELSE 1 END AS byte FROM {{r7}} b UNION ALL SELECT {DIV.format('s.seq', OPS)} * {FRAME} + {FRAME - 4} + b.id AS pos, CASE b.id WHEN 0 THEN 129 WHEN 1 THEN 250 WHEN 2 THEN 84 + ({DIV.format('s.seq', OPS)} + 1) % 2 ELSE 255 END AS byte FROM s CROSS JOIN {{r4}} b WHERE s.seq % {OPS} = {OPS - 1}) SELECT cast(floor(pos / {FRAME}) AS bigint) AS frame, count(*) AS bytes, sum(byte) AS total, sum(byte * (pos % {FRAME} + 1)) AS weighted FROM bytes GROUP BY cast(floor(pos / {FRAME}) AS bigint)", tables=("events",), ranges=(7, 4), ops=_TICKS)
+both("stream_decode", f"{TICKED}, bytes AS (SELECT {POS} + b.id AS pos, {NEXT_BYTE} AS byte FROM s CROSS JOIN {{r7}} b), parts AS (SELECT cast(floor(pos / {FRAME}) AS bigint) * {OPS} + cast(floor(pos % {FRAME} / {OP_BYTES}) AS bigint) AS seq, pos % {FRAME} % {OP_BYTES} AS place, byte FROM bytes) SELECT seq, sum(CASE place WHEN 0 THEN byte * 256 WHEN 1 THEN byte ELSE 0 END) AS address, sum(CASE WHEN place = 2 THEN byte ELSE 0 END) AS content, sum(CASE WHEN place = 3 THEN byte ELSE 0 END) AS off0, sum(CASE WHEN place = 6 THEN byte ELSE 0 END) AS off3 FROM parts GROUP BY seq", tables=("events",), ranges=(7,), ops=_TICKS)
 
 
 @query(f"WITH s AS ({STORES.format(events='events')}), w AS (SELECT bank, page, unnest([off0, off1, off2, off3]) AS off, content, seq FROM s) SELECT bank, page, off, arg_max(content, seq) AS content, max(seq) AS seq FROM w GROUP BY ALL")
@@ -89,4 +95,57 @@ def greedy_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store operations of every movie, most valuable cells first, as many a frame as audio ticks allow."""
     from rasterloom.operators.greedy import encode
 
-    return encode(table(spark, sf_dir, "documents"), ops_per_frame=BITRATE // FPS)
+    return encode(table(spark, sf_dir, "documents"), ops_per_frame=BITRATE // FPS).drop("bank")
+
+
+@query()
+def greedy_encode_dhgr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterloom.operators.greedy import encode
+
+    return encode(table(spark, sf_dir, "documents"), ops_per_frame=BITRATE // FPS, mode="DHGR")
+
+
+def _movies(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """Streams of all documents; event e is a sample of the movie e % 8, its value the level."""
+    from rasterloom.operators.movies import encode
+
+    level = F.greatest(F.least(((F.col("value") - 250) * 40 / 16384 * 16 * 1.25).cast("int"), F.lit(16)), F.lit(-15))
+    audio = table(spark, sf_dir, "events").select((F.col("event_id") % 8).alias("movie"), F.col("event_id").alias("idx"), level.alias("level"))
+    found = files.opcode_addresses(spark.createDataFrame(files.handler_lines(), "line_no long, line string"))
+    addresses = {r["opcode"]: r["address"] for r in found.collect()}  # one row per operation of the player
+    return encode(table(spark, sf_dir, "documents"), audio, addresses, mode, ticks_per_frame=BITRATE / FPS)
+
+
+def _sizes(size: int) -> str:
+    """DuckDB: a movie's operations end with its samples or its frames; each 292 are a frame, and the end mark takes two bytes."""
+    return f"""WITH m AS (SELECT doc_id AS movie, ceil(length(coalesce(text, '')) / {size}.0)::BIGINT AS frames, coalesce(n, 0) AS n FROM documents LEFT JOIN (SELECT event_id % 8 AS movie, count(*) AS n FROM events GROUP BY 1) a ON a.movie = doc_id),
+o AS (SELECT movie, 1 + CASE WHEN frames = 0 THEN 0 ELSE least(n, {BITRATE // FPS} * frames - 1) END AS ops FROM m)
+SELECT movie, ops // {OPS} + 1 AS frames, ops - 1 AS ticks, ops // {OPS} AS acks, (ops // {OPS} + 1) * {FRAME} AS bytes FROM o"""
+
+
+def _digest(frames: DataFrame, spark: SparkSession) -> DataFrame:
+    """What the bytes of each stream decode to."""
+    from rasterloom.operators.movies import decode
+
+    found = files.opcode_addresses(spark.createDataFrame(files.handler_lines(), "line_no long, line string"))
+    ops = decode(frames, {r["opcode"]: r["address"] for r in found.collect()})
+    counts = ops.groupBy("movie").agg(F.count_if(F.col("name").startswith("tick")).alias("ticks"), F.count_if(F.col("name") == "ack").alias("acks"))
+    sizes = frames.groupBy("movie").agg(F.count("*").alias("frames"), F.sum(F.length("data")).alias("bytes"))
+    return sizes.join(counts, "movie")
+
+
+@query(_sizes(7680))
+def movie_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames, tick operations and acknowledgements of each movie's byte stream, read back from its bytes."""
+    return _digest(_movies(spark, sf_dir, "HGR"), spark)
+
+
+@query(_sizes(15360))
+def movie_encode_dhgr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(_movies(spark, sf_dir, "DHGR"), spark)
+
+
+@query()
+def movie_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streams themselves, 2048 bytes a row."""
+    return _movies(spark, sf_dir, "HGR")
