@@ -24,8 +24,9 @@ SCHEMA = "doc_id long, start long, length long, token_bytes binary, doc_tokens l
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
     """Deals items to `windows` windows with near-equal sums: the indices of each window's items.
 
-    A partial partition is its windows' sums, ascending and less their minimum, each with a tree of its items. The
-    two partitions with the widest imbalance are merged, the fullest windows of one with the emptiest of the other.
+    A partial partition is its windows' sums, ascending and less their minimum, each with a chain of its items: first,
+    last, and each item's follower. The two partitions with the widest imbalance are merged, the fullest windows of one
+    with the emptiest of the other.
     """
     import numpy as np
 
@@ -33,35 +34,31 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
         return [[] for _ in range(windows)]
     heap = []
     for i, s in enumerate(sizes):
-        sums = np.zeros(windows, np.int64)
-        sums[-1] = s
-        heap.append((-s, i, sums, [None] * (windows - 1) + [i]))
+        sums, chain = np.zeros(windows, np.int64), np.full((2, windows), -1, np.int64)
+        sums[-1], chain[:, -1] = s, i
+        heap.append((-s, i, sums, chain))
     heapq.heapify(heap)
+    follower = np.full(len(sizes), -1, np.int64)
     while len(heap) > 1:
         _, i, a, x = heapq.heappop(heap)
         _, _, b, y = heapq.heappop(heap)
         sums = a + b[::-1]
-        order = np.argsort(sums, kind="stable")
-        y.reverse()
-        trees = []
-        for k in order.tolist():
-            p, q = x[k], y[k]
-            trees.append(q if p is None else p if q is None else (p, q))
+        order = sums.argsort(kind="stable")
+        x, y = x[:, order], y[:, ::-1][:, order]
+        both = (x[0] >= 0) & (y[0] >= 0)
+        follower[x[1, both]] = y[0, both]
+        chain = np.stack([np.where(x[0] >= 0, x[0], y[0]), np.where(y[1] >= 0, y[1], x[1])])
         sums = sums[order]
         sums -= sums[0]
-        heapq.heappush(heap, (-int(sums[-1]), i, sums, trees))
-    return [_leaves(t) for t in heap[0][3]]
-
-
-def _leaves(tree) -> list[int]:
-    out, stack = [], [tree]
-    while stack:
-        t = stack.pop()
-        if isinstance(t, tuple):
-            stack += t
-        elif t is not None:
-            out.append(t)
-    return sorted(out)
+        heapq.heappush(heap, (-int(sums[-1]), i, sums, chain))
+    follower, out = follower.tolist(), []
+    for at in heap[0][3][0].tolist():
+        items = []
+        while at >= 0:
+            items.append(at)
+            at = follower[at]
+        out.append(sorted(items))
+    return out
 
 
 def deal(sizes: list[int], capacity: int) -> list[list[int]]:

@@ -1,4 +1,4 @@
-"""Token ids of a tokenizers file, by cached words: the same ids as Tokenizer.encode(text, add_special_tokens=False)."""
+"""Token ids of a tokenizers file, by cached parts of words: the same ids as Tokenizer.encode(text, add_special_tokens=False)."""
 
 from __future__ import annotations
 
@@ -6,25 +6,30 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
-#: Runs of these characters are cut at ASCII blanks and encoded alone; others go to the library whole.
-_PLAIN = re.compile(r"[!-~ß-öø-ÿÀ-ÖØ-Þ]+\Z")
+#: Texts of these characters are lower-cased and cut here; others go to the library, word by word.
+_LETTERS = "!-~ß-öø-ÿÀ-ÖØ-Þ"
+_PLAIN = re.compile(rf"[{_LETTERS} \n\r\t]*\Z")
 _BLANK = re.compile(r"[ \n\r\t]+")
-_LAST: dict[str, "WordCache"] = {}
+#: Characters that are cut into parts at once.
+_SLICE = 1 << 20
+_LAST: dict[str, "PartCache"] = {}
 
 
-class WordCache:
+class PartCache:
     """Encodes texts as little-endian uint32 ids.
 
-    Blanks part the tokens of such a tokenizer (its normaliser makes each one space, its splitter drops them),
-    so a text's ids are its words' ids in order. The cache is emptied at `limit` words, which bounds its memory.
+    Such a tokenizer lower-cases, cuts at blanks, which it drops, and cuts what is between them into parts by a pattern;
+    a text's ids are its parts' ids in order. Parts that were not used while `limit` others came are forgotten, which
+    bounds the memory.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.words, self.parts = Tokenizer.from_file(path), limit, {}, {}
+        self.tokenizer, self.limit, self.known, self.before = Tokenizer.from_file(path), limit, {}, {}
         self.splits, self.letters = self._splitter()
         if self.splits is not None:  # the same model alone, for parts that are normalised and cut already
             spec = json.loads(self.tokenizer.to_str())
@@ -50,48 +55,73 @@ class WordCache:
                 more += 1
         return re.compile(pattern), letters
 
-    def _learn(self, words: set[str]) -> None:
-        """Adds the ids of words that are not known yet; one library call encodes all their new parts."""
-        known, parts = self.words, self.parts
-        plain, whole = {}, []
-        for w in words:
-            if self.splits is not None and _PLAIN.match(w) and "<|" not in w:
-                plain[w] = self.splits.findall(w.lower())
+    def _learn(self, new: set[str]) -> None:
+        """Adds the ids of parts, and of words that the library must cut, that aren't known; one library call encodes all parts."""
+        known, before = self.known, self.before
+        parts = []
+        for p in new:
+            if p in before:
+                known[p] = before[p]
+            elif p[0] == " ":
+                known[p] = array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
             else:
-                whole.append(w)
-        new = list({p for ps in plain.values() for p in ps if p not in parts})
-        if new:
+                parts.append(p)
+        if parts:
             spell = self.letters.__getitem__
-            spelled = [p if p.isascii() else "".join(map(spell, p.encode())) for p in new]
-            for p, e in zip(new, self.bare.encode_batch_fast(spelled, add_special_tokens=False)):
-                parts[p] = array("I", e.ids).tobytes()
-        for w, ps in plain.items():
-            known[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
-        for w in whole:
-            known[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+            spelled = [p if p.isascii() else "".join(map(spell, p.encode())) for p in parts]
+            for at in range(0, len(parts), 4096):
+                known.update(zip(parts[at : at + 4096], [array("I", e.ids).tobytes() for e in self.bare.encode_batch_fast(spelled[at : at + 4096], add_special_tokens=False)]))
+
+    def _cut(self, text: str) -> Iterator[list[str]]:
+        """The parts of a text, some at a time; a word that the library must cut is one, after a blank."""
+        at = 0
+        while at < len(text):
+            stop = at + _SLICE
+            if stop < len(text):  # a slice ends at a blank
+                blank = _BLANK.search(text, stop)
+                stop = blank.end() if blank else len(text)
+            piece = text[at:stop]
+            at = stop
+            if self.splits is None:
+                yield [" " + w for w in _BLANK.split(piece) if w]
+            elif "<|" not in piece and _PLAIN.match(piece):
+                yield self.splits.findall(piece.lower())
+            else:
+                out = []
+                for w in _BLANK.split(piece):
+                    if "<|" not in w and _PLAIN.match(w):
+                        out += self.splits.findall(w.lower())
+                    else:
+                        out.append(" " + w)
+                yield out
+
+    def encode(self, text: str) -> bytes:
+        out = []
+        for parts in self._cut(text):
+            if len(self.known) > self.limit:
+                self.before, self.known = self.known, {}
+            if new := set(parts).difference(self.known):
+                self._learn(new)
+            out.append(b"".join(map(self.known.__getitem__, parts)))
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the texts together should fit in memory several times (an Arrow batch of them does)."""
-        for kept in (self.words, self.parts):
-            if len(kept) > self.limit:
-                kept.clear()
-        known = self.words
-        cut = [_BLANK.split(t) for t in texts]
+        """The ids of each text; new parts of all short ones are looked up together."""
+        cut = [next(self._cut(t), []) if len(t) <= _SLICE else None for t in texts]
+        if len(self.known) > self.limit:
+            self.before, self.known = self.known, {}
         new: set[str] = set()
-        for ws in cut:
-            new.update(ws)
-        if new := new.difference(known):
+        new.update(*(c for c in cut if c))
+        if new := new.difference(self.known):
             self._learn(new)
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in cut]
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
+        get = self.known.__getitem__
+        short = [None if c is None else b"".join(map(get, c)) for c in cut]
+        return [self.encode(t) if s is None else s for t, s in zip(texts, short)]
 
 
-def encoder(path: str) -> WordCache:
+def encoder(path: str) -> PartCache:
     """This worker's encoder for the file; kept between tasks."""
     if path not in _LAST:
         _LAST.clear()
-        _LAST[path] = WordCache(path)
+        _LAST[path] = PartCache(path)
     return _LAST[path]
