@@ -1,4 +1,7 @@
-"""A small causal self-attention model in numpy: one head, a feed-forward layer, a softmax over token classes."""
+"""A small causal self-attention model in numpy: one head, a feed-forward layer, a softmax over token classes.
+
+What the model adds to a prior: logits of each class after each slot, which are given, not learned (or nothing).
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ import numpy as np
 class Shape:
     """d: width; window: tokens a window holds; slots: rows of the input table; classes: outputs; inner: feed-forward width."""
 
-    def __init__(self, d: int = 16, window: int = 48, slots: int = 2048, classes: int = 128, inner: int = 32):
+    def __init__(self, d: int = 8, window: int = 48, slots: int = 2048, classes: int = 32, inner: int = 16):
         self.d, self.window, self.slots, self.classes, self.inner = d, window, slots, classes, inner
 
     def parts(self) -> dict[str, tuple[int, ...]]:
@@ -17,9 +20,10 @@ class Shape:
 
 
 def initial(shape: Shape, class_logs: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Random weights; the output starts from the classes' own log frequencies."""
+    """Random weights; the output starts near the given logits."""
     rng = np.random.default_rng(seed)
-    return np.concatenate([class_logs.astype(np.float32) if k == "b" else (rng.standard_normal(s) * (0.3 if k in "EP" else 0.25)).astype(np.float32).ravel() for k, s in shape.parts().items()])
+    scale = {"E": 0.3, "P": 0.3, "U": 0.05}
+    return np.concatenate([class_logs.astype(np.float32) if k == "b" else (rng.standard_normal(s) * scale.get(k, 0.25)).astype(np.float32).ravel() for k, s in shape.parts().items()])
 
 
 def unflatten(shape: Shape, flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -31,35 +35,17 @@ def unflatten(shape: Shape, flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _states(w: dict, slots: np.ndarray):
-    n, length = slots.shape
-    d = w["O"].shape[0]
-    x = w["E"][slots]
-    x += w["P"][:length]
-    x = x.reshape(-1, d)
-    q = (x @ w["Q"]).reshape(n, length, 3 * d)
-    s = q[:, :, :d] @ q[:, :, d : 2 * d].transpose(0, 2, 1)
-    s *= np.float32(d**-0.5)
-    s += np.triu(np.full((length, length), -1e9, np.float32), 1)  # a token sees itself and what is before it
-    s -= s.max(2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
-    a = (s @ q[:, :, 2 * d :]).reshape(-1, d)
-    h = x + a @ w["O"]
-    m = h @ w["A"]
-    np.maximum(m, 0, out=m)
-    return x, q, s, a, h, m, h + m @ w["B"]
+_TRIANGLES: dict[int, np.ndarray] = {}
 
 
-def log_probabilities(w: dict, slots: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """ln P(target class) at each place of each window; slots: what stood before each target."""
-    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-        out = _quick(w, slots, targets)
-    return out if np.isfinite(out).all() else _careful(w, slots, targets)
+def _causal(length: int) -> np.ndarray:
+    """1 where a token sees another: itself and what is before it."""
+    if length not in _TRIANGLES:
+        _TRIANGLES[length] = np.tri(length, dtype=np.float32)
+    return _TRIANGLES[length]
 
 
-def _quick(w: dict, slots: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """As below, without the passes that keep large exponents apart: not finite where that would matter."""
+def _states(w: dict, slots: np.ndarray, careful: bool):
     n, length = slots.shape
     d = w["O"].shape[0]
     x = w["E"][slots]
@@ -67,97 +53,108 @@ def _quick(w: dict, slots: np.ndarray, targets: np.ndarray) -> np.ndarray:
     x = x.reshape(-1, d)
     q = (x @ w["Q"]).reshape(n, length, 3 * d)
     s = (q[:, :, :d] * np.float32(d**-0.5)) @ q[:, :, d : 2 * d].transpose(0, 2, 1)
+    if careful:  # large exponents are kept apart
+        s = np.where(_causal(length) > 0, s, -np.inf)
+        s -= s.max(2, keepdims=True)
     np.exp(s, out=s)
-    s *= np.tri(length, dtype=np.float32)
-    a = s @ q[:, :, 2 * d :]
-    a /= s.sum(2, keepdims=True)
-    h = x + a.reshape(-1, d) @ w["O"]
+    s *= _causal(length)
+    s *= 1 / s.sum(2, keepdims=True)
+    a = (s @ q[:, :, 2 * d :]).reshape(-1, d)
+    h = a @ w["O"]
+    h += x
     m = h @ w["A"]
     np.maximum(m, 0, out=m)
-    h += m @ w["B"]
-    z = h @ w["U"]
-    z += w["b"]
-    t = z[np.arange(len(z)), targets.ravel()]
-    np.exp(z, out=z)
-    return (t - np.log(z.sum(1))).reshape(slots.shape)
+    y = m @ w["B"]
+    y += h
+    return x, q, s, a, h, m, y
 
 
-def _careful(w: dict, slots: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    y = _states(w, slots)[-1]
+def _logits(w: dict, y: np.ndarray, slots: np.ndarray, prior: np.ndarray | None) -> np.ndarray:
     z = y @ w["U"]
     z += w["b"]
+    if prior is not None:
+        z += prior[slots.ravel()]
+    return z
+
+
+def log_probabilities(w: dict, slots: np.ndarray, targets: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+    """ln P(target class) at each place of each window; slots: what stood before each target."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        z = _logits(w, _states(w, slots, False)[-1], slots, prior)
+        t = z[np.arange(len(z)), targets.ravel()]
+        np.exp(z, out=z)
+        out = (t - np.log(z.sum(1))).reshape(slots.shape)
+    if np.isfinite(out).all():
+        return out
+    z = _logits(w, _states(w, slots, True)[-1], slots, prior)
     z -= z.max(1, keepdims=True)
     t = z[np.arange(len(z)), targets.ravel()]
     np.exp(z, out=z)
     return (t - np.log(z.sum(1))).reshape(slots.shape)
 
 
-def loss_and_gradient(shape: Shape, flat: np.ndarray, slots: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
+def loss_and_gradient(shape: Shape, flat: np.ndarray, slots: np.ndarray, targets: np.ndarray, prior: np.ndarray | None = None) -> tuple[float, np.ndarray]:
     """Mean of -ln P(target) over all places with a target (others have -1), and its gradient."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        loss, gradient = _descent(shape, flat, slots, targets, prior, False)
+    return (loss, gradient) if np.isfinite(loss) and np.isfinite(gradient).all() else _descent(shape, flat, slots, targets, prior, True)
+
+
+def _descent(shape: Shape, flat: np.ndarray, slots: np.ndarray, targets: np.ndarray, prior, careful: bool) -> tuple[float, np.ndarray]:
     w = unflatten(shape, flat)
     n, length = slots.shape
     d = shape.d
-    x, q, s, a, h, m, y = _states(w, slots)
-    z = y @ w["U"] + w["b"]
-    z -= z.max(1, keepdims=True)
-    p = np.exp(z)
-    total = p.sum(1, keepdims=True)
-    rows, t = np.arange(len(z)), targets.ravel()
+    x, q, s, a, h, m, y = _states(w, slots, careful)
+    p = _logits(w, y, slots, prior)
+    if careful:
+        p -= p.max(1, keepdims=True)
+    rows, t = np.arange(len(p)), targets.ravel()
     there = t >= 0
     count = max(1, int(there.sum()))
-    loss = float((np.log(total[:, 0]) - z[rows, t])[there].sum() / count)
-    p /= total
-    p[rows, t] -= 1
-    p[~there] = 0
-    p /= count
-    g = {"U": y.T @ p, "b": p.sum(0)}
-    dy = p @ w["U"].T
-    g["B"] = m.T @ dy
-    dm = (dy @ w["B"].T) * (m > 0)
-    g["A"] = h.T @ dm
-    dh = dy + dm @ w["A"].T
-    g["O"] = a.T @ dh
+    chosen = p[rows, t]
+    np.exp(p, out=p)
+    total = p.sum(1)
+    loss = float((np.log(total) - chosen)[there].sum() / count)
+    p *= (there / (total * count)).astype(p.dtype)[:, None]
+    p[rows, t] -= (there / count).astype(p.dtype)
+    out = {"U": y.T @ p, "b": p.sum(0)}
+    dh = p @ w["U"].T
+    out["B"] = m.T @ dh
+    dm = dh @ w["B"].T
+    dm *= m > 0
+    out["A"] = h.T @ dm
+    dh += dm @ w["A"].T
+    out["O"] = a.T @ dh
     da = (dh @ w["O"].T).reshape(n, length, d)
     dq = np.empty_like(q)
     dq[:, :, 2 * d :] = s.transpose(0, 2, 1) @ da
     ds = da @ q[:, :, 2 * d :].transpose(0, 2, 1)
-    ds = s * (ds - (ds * s).sum(2, keepdims=True)) * np.float32(d**-0.5)
+    # What a state's own sum takes away, from the attended values rather than from all places.
+    ds -= (da * a.reshape(n, length, d)).sum(2, keepdims=True)
+    ds *= s
+    ds *= np.asarray(d**-0.5, ds.dtype)
     dq[:, :, :d] = ds @ q[:, :, d : 2 * d]
     dq[:, :, d : 2 * d] = ds.transpose(0, 2, 1) @ q[:, :, :d]
     dq = dq.reshape(-1, 3 * d)
-    g["Q"] = x.T @ dq
-    dx = (dh + dq @ w["Q"].T).reshape(n, length, d)
-    g["P"] = np.zeros_like(w["P"])
-    g["P"][:length] = dx.sum(0)
-    g["E"] = np.zeros_like(w["E"])
-    order = np.argsort(slots.ravel(), kind="stable")
-    sorted_ = slots.ravel()[order]
-    begin = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-    g["E"][sorted_[begin]] = np.add.reduceat(dx.reshape(-1, d)[order], begin, axis=0)
-    return loss, np.concatenate([g[k].ravel() for k in shape.parts()]).astype(np.float32)
+    out["Q"] = x.T @ dq
+    dh += dq @ w["Q"].T
+    out["P"] = np.zeros_like(w["P"])
+    out["P"][:length] = dh.reshape(n, length, d).sum(0)
+    at = slots.ravel()
+    out["E"] = np.stack([np.bincount(at, dh[:, i], len(w["E"])) for i in range(d)], 1)
+    return loss, np.concatenate([out[k].ravel() for k in shape.parts()]).astype(np.float32)
 
 
 class Adam:
     """Adam on one network, a batch of windows at a time."""
 
-    def __init__(self, shape: Shape, flat: np.ndarray):
-        self.shape, self.flat, self.done = shape, flat.copy(), 0
+    def __init__(self, shape: Shape, flat: np.ndarray, prior: np.ndarray | None = None):
+        self.shape, self.flat, self.prior, self.done = shape, flat.copy(), prior, 0
         self.first, self.second = np.zeros_like(flat), np.zeros_like(flat)
 
     def step(self, slots: np.ndarray, targets: np.ndarray, rate: float) -> None:
-        _, g = loss_and_gradient(self.shape, self.flat, slots, targets)
+        _, g = loss_and_gradient(self.shape, self.flat, slots, targets, self.prior)
         self.done += 1
         self.first += 0.1 * (g - self.first)
         self.second += 0.01 * (g * g - self.second)
         self.flat -= rate * (self.first / (1 - 0.9**self.done)) / (np.sqrt(self.second / (1 - 0.99**self.done)) + 1e-8)
-
-
-def descend(shape: Shape, flat: np.ndarray, slots: np.ndarray, targets: np.ndarray, epochs: int, rate: float, batch: int = 64, seed: int = 9) -> np.ndarray:
-    """Adam over the windows in a fixed random order, the rate falling to a tenth."""
-    adam, rng, steps = Adam(shape, flat), np.random.default_rng(seed), max(1, epochs * -(-len(slots) // batch))
-    for _ in range(epochs):
-        order = rng.permutation(len(slots))
-        for at in range(0, len(order), batch):
-            rows = order[at : at + batch]
-            adam.step(slots[rows], targets[rows], rate * (1 - 0.9 * (adam.done + 1) / steps))
-    return adam.flat.astype(np.float32)
