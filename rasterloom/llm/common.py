@@ -70,15 +70,15 @@ class Scratch:
         return out
 
 
-#: Groups that may be sent to every task: those with more than 1/HOT of all rows, so fewer than HOT.
-HOT = 1000
+#: Groups that may be sent to every task: those with more than 1/HOT of all rows, so fewer than HOT; rows that need no look.
+HOT, FEW = 1000, 100_000
 
 
 def with_groups(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """df joined by its keys with groups, a table of one row per group with its number of rows in df (_rl_n, not kept).
 
-    A plain join with an aggregate would gather a group's rows in one task. Groups with more than 1/HOT of the rows go to
-    the tasks by broadcast instead, so their rows stay where they are. Both tables are read several times.
+    A plain join with an aggregate would gather a group's rows in one task. Groups with more than 1/HOT of the rows
+    go to the tasks by broadcast instead, so their rows stay where they are. Both tables are read several times.
     """
     total, most = groups.agg(F.sum("_rl_n"), F.max("_rl_n")).first()
     floor = (total or 0) / HOT
@@ -89,9 +89,14 @@ def with_groups(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(hot, keys).unionByName(rest)
 
 
-def with_least(df: DataFrame, key: str, value: str, name: str, scratch: Scratch) -> DataFrame:
-    """df with the smallest `value` of each row's `key` as the column `name`; rows without a key are dropped."""
+def with_least(df: DataFrame, key: str, value: str, name: str, scratch: Scratch, rows: int | None = None) -> DataFrame:
+    """df with the smallest `value` of each row's `key` as the column `name`; rows without a key are dropped.
+
+    rows: df's number of rows, if it is known; up to FEW of them need no look at the groups.
+    """
     least = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("_rl_n"))
+    if rows is not None and rows <= FEW:
+        return df.join(least.drop("_rl_n"), key)
     return with_groups(df, scratch.keep(least, "least"), [key])
 
 

@@ -10,18 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import Scratch, discard, materialise, with_least
+from rasterloom.llm.common import FEW, Scratch, discard, materialise, with_least
 
 
-def _large(e: DataFrame, scratch: Scratch) -> DataFrame:
+def _large(e: DataFrame, scratch: Scratch, rows: int) -> DataFrame:
     """Each node's larger neighbours go to the smallest of its neighbourhood."""
     both = e.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("o")), F.struct(F.col("b").alias("n"), F.col("a").alias("o")))).alias("x")).select("x.n", "x.o")
-    return with_least(both, "n", "o", "m", scratch).where("o > n").select(F.col("o").alias("a"), F.least("n", "m").alias("b")).distinct()
+    return with_least(both, "n", "o", "m", scratch, 2 * rows).where("o > n").select(F.col("o").alias("a"), F.least("n", "m").alias("b")).distinct()
 
 
-def _small(e: DataFrame, scratch: Scratch) -> DataFrame:
+def _small(e: DataFrame, scratch: Scratch, rows: int) -> DataFrame:
     """Each node and its smaller neighbours go to the smallest of them. In e, a > b."""
-    moved = with_least(e, "a", "b", "m", scratch).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+    moved = with_least(e, "a", "b", "m", scratch, rows).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
     return moved.select("x.a", "x.b").where("a <> b").distinct()
 
 
@@ -36,8 +36,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _state(e)
     while before[0]:
         with Scratch() as scratch:
-            stars = scratch.keep(_large(e, scratch), "stars")
-            new, at = materialise(_small(stars, scratch), "edges")
+            stars, n = _large(e, scratch, before[0]), 2 * before[0]
+            if n > FEW:  # the next step reads them several times
+                stars = scratch.keep(stars, "stars")
+            new, at = materialise(_small(stars, scratch, n), "edges")
         discard(spark, path)
         e, path, now = new, at, _state(new)
         if now == before:

@@ -8,8 +8,10 @@ counts add up without gathering links; each task passes on a spanning forest onl
 
 Nulls and edges: a vector that is null, empty, zero or has a null or non-finite component, or whose label is null,
 links with nothing (n_links 0, component its own id); vectors of different lengths are never compared; repeated rows
-count as vectors; a null id keeps its row, its own component id being its class's; an empty table gives an empty
-result; further columns are not read.
+count as vectors; a null id keeps its row, its own component id being its class's; very large and very small components
+are scaled by a power of two before they are multiplied; an empty table gives an empty result; further columns are not
+read. Vectors travel as 32-bit floats where these hold them exactly, so the cosine is always that of the given numbers in
+double precision.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import columns, materialise
+from rasterloom.llm.common import Scratch, columns, materialise, with_least
 from rasterloom.llm.components import connected_components
 
 BLOCK = 1024
@@ -34,6 +36,24 @@ def planes(dims: int, bits: int, tables: int, seed: int = 11):
     return np.random.default_rng([seed, dims, bits, tables]).standard_normal((dims, bits * tables))
 
 
+def pack_vectors(x) -> list[bytes]:
+    """Rows of a float64 array as bytes, with four bytes a component where that loses nothing; the first byte says which."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+        fits = (short == x).all(1)
+    return [b"f" + s.tobytes() if f else b"d" + d.tobytes() for f, s, d in zip(fits, short, x)]
+
+
+def unpack_vectors(rows: list[bytes]):
+    """The rows again, each scaled by a power of two so that its largest component is between a half and one."""
+    import numpy as np
+
+    x = np.array([np.frombuffer(r, np.float32 if r[:1] == b"f" else np.float64, offset=1).astype(np.float64) for r in rows])
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def parameters(largest: int, threshold: float, recall: float) -> tuple[int, int]:
     """(bits, tables): buckets of about BUCKET classes; pairs at the threshold found with the wanted probability."""
     bits = min(24, max(4, math.ceil(math.log2(max(largest, 1) / BUCKET + 1))))
@@ -54,10 +74,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.
     found, _ = materialise(found, "links")
     parts = connected_components(found.where("root is not null").select(F.col("rid").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
-    named = classes.join(counts, "rid", "left").join(parts, classes["rid"] == parts["node"], "left").select("label", "vector", "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rid").alias("component"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("label", "vector", "n_links", "component_id")
-    linked = v.where("label is not null").join(named, ["label", "vector"]).select("vec_id", "n_links", "component_id")
+    with Scratch() as scratch:
+        named = classes.select("rid", "first", "weight").join(counts, "rid", "left").join(parts, F.col("rid") == parts["node"], "left").select("rid", "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rid").alias("component"))
+        named = scratch.keep(named, "named")
+        named = materialise(with_least(named, "component", "first", "component_id", scratch).select("rid", "n_links", "component_id"), "classes")[0]
+    by_vector = classes.select("rid", "label", "vector").join(named, "rid").select("label", "vector", "n_links", "component_id")
+    linked = v.where("label is not null").join(by_vector, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = v.where("label is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone)
 
@@ -71,17 +93,20 @@ def _links(classes: DataFrame, bits: int, tables: int, threshold: float) -> Data
 
         for b in batches:
             vectors = b.column("vector").to_pylist()
-            sigs = np.zeros((len(vectors), tables), np.int64)
+            sigs, made = np.zeros((len(vectors), tables), np.int64), [b""] * len(vectors)
             for dims in {len(x) for x in vectors}:
                 at = [i for i, x in enumerate(vectors) if len(x) == dims]
-                signs = np.array([vectors[i] for i in at]) @ planes(dims, bits, tables) > 0
+                x = np.array([vectors[i] for i in at])
+                for i, p in zip(at, pack_vectors(x)):
+                    made[i] = p
+                signs = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) @ planes(dims, bits, tables) > 0
                 sigs[at] = signs.reshape(len(at), tables, bits) @ (1 << np.arange(bits))
-            packed = pa.array([s.tobytes() for s in sigs], pa.binary())
+            packed, short = pa.array(made, pa.binary()), pa.array([s.astype(np.int32).tobytes() for s in sigs], pa.binary())
             for t in range(tables):
-                yield pa.record_batch([b.column("label"), pa.array([t] * len(vectors), pa.int32()), pa.array(sigs[:, t]), b.column("rid"), b.column("weight"), b.column("vector"), packed], ["label", "tab", "sig", "rid", "weight", "vector", "sigs"])
+                yield pa.record_batch([b.column("label"), pa.array([t] * len(vectors), pa.int32()), pa.array(sigs[:, t]), b.column("rid"), b.column("weight"), pa.array([len(x) for x in vectors], pa.int32()), packed, short], ["label", "tab", "sig", "rid", "weight", "dims", "vector", "sigs"])
 
-    signed = classes.select("label", "rid", "weight", "vector").mapInArrow(sign, "label string, tab int, sig long, rid long, weight long, vector array<double>, sigs binary")
-    key = ["label", "tab", "sig"]
+    signed = classes.select("label", "rid", "weight", "vector").mapInArrow(sign, "label string, tab int, sig long, rid long, weight long, dims int, vector binary, sigs binary")
+    key = ["label", "dims", "tab", "sig"]
     sizes = signed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     mine = F.pmod(F.xxhash64("rid"), F.col("blocks"))
     # Block pair (x, y), x <= y: a class of block m goes to (m, m..) and to (0..m, m).
@@ -93,16 +118,15 @@ def _links(classes: DataFrame, bits: int, tables: int, threshold: float) -> Data
         import pyarrow as pa
 
         schema = pa.schema([("rid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
-        tab, x, y = key[1].as_py(), key[3].as_py(), key[4].as_py()
+        tab, x, y = key[2].as_py(), key[4].as_py(), key[5].as_py()
         rid, weight = t.column("rid").to_numpy(), t.column("weight").to_numpy()
         mine, vectors = t.column("mine").to_numpy(), t.column("vector").to_pylist()
-        sigs = np.array([np.frombuffer(s, np.int64) for s in t.column("sigs").to_pylist()])
+        sigs = np.array([np.frombuffer(s, np.int32) for s in t.column("sigs").to_pylist()])
         links, root = np.zeros(len(rid), np.int64), np.arange(len(rid))
-        for dims in {len(v) for v in vectors}:
-            a = np.array([i for i, v in enumerate(vectors) if len(v) == dims and mine[i] == x], np.int64)
-            b = a if x == y else np.array([i for i, v in enumerate(vectors) if len(v) == dims and mine[i] == y], np.int64)
-            if len(a) and len(b):
-                _compare(a, b, x == y, np.array([vectors[i] for i in a]), np.array([vectors[i] for i in b]), threshold, sigs[:, :tab], weight, links, root)
+        a, b = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+        if len(a) and len(b):
+            scaled = unpack_vectors(vectors)
+            _compare(a, b, x == y, scaled[a], scaled[b], threshold, sigs[:, :tab], weight, links, root)
         on = (links > 0) | (root != np.arange(len(rid)))
         return pa.table([rid[on], links[on], np.where(root == np.arange(len(rid)), -1, rid[root])[on]], schema=schema)
 

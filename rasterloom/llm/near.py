@@ -5,15 +5,16 @@ at such a radius (a level copies over 0.8 of the fingerprints to both sides), so
 rasterloom.llm.simhash searches it at radius 2, finds only closer pairs. Here each text has BANDS more SimHash
 fingerprints, each over the ROWS shingles that come first under a hash order of its own: similar texts share these
 samples with a chance of similarity ** ROWS, and then the fingerprints are equal. Texts that meet in a fingerprint are
-compared by SLOTS minimum hashes (an unbiased estimate of the shingles' Jaccard similarity, standard error at most 0.036).
-Those whose estimate is at most MARGIN below the threshold are candidates, and the exact Jaccard similarity of their
-shingle sets decides: 0.8 or more links them.
+compared by SLOTS minimum hashes of a byte (standard error of the similarity at most 0.05). Those whose estimate is at
+most MARGIN below the threshold are candidates, and the exact Jaccard similarity of their shingle sets decides: 0.8 or
+more links them.
 
-A group that meets is streamed past its leaders: a text links with each leader it is similar to, and leads itself if
-there is none. Most copies are joined by this. Then, in each group whose texts are not all joined, every pair of texts
-that are still apart is compared; a group over BLOCK texts is dealt to pairs of blocks, where every two texts meet.
+A group that meets is streamed past its leaders: a text is a candidate with each leader it resembles, and leads itself
+if there is none. Most copies are joined by this. Then, in each group whose texts are not all joined, every pair of
+texts that are still apart is compared; a group over BLOCK texts is dealt to pairs of blocks, where every two texts meet.
 
 Exact copies are one text from the start. Links of both kinds make components, and the smallest id of each stays.
+Intermediate tables go as soon as the next one is written; minimum hashes are shuffled only for texts that meet others.
 
 Nulls and edges: null and blank texts are copies of each other; a null id stays if its text's group has no id; of rows
 with equal ids and texts one stays, of rows with equal ids and other texts those that are no copies of another stay; an
@@ -28,14 +29,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import columns, materialise, utf8
+from rasterloom.llm.common import HOT, Scratch, columns, materialise, utf8, with_groups, with_least
 from rasterloom.llm.components import connected_components
-from rasterloom.llm.simhash import fingerprint_links, majority, shingle_hashes
+from rasterloom.llm.simhash import SEED, fingerprint_links, majority
 
-BANDS, ROWS, SLOTS = 12, 3, 192
-BLOCK = 1024
+BANDS, ROWS, SLOTS = 12, 3, 64
+#: Texts in a block of those compared pair by pair; texts that are streamed past the same leaders.
+BLOCK, SPLIT = 1024, 1 << 14
 #: How far below the threshold an estimate may lie: four standard errors at 0.8.
-MARGIN = 0.12
+MARGIN = 0.2
 
 
 def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,11 +48,43 @@ def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
 FACTORS = _factors(BANDS + SLOTS)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+class _Words(dict):
+    """The hash of each word, made when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        h = self[word] = xxh64_intdigest(word, SEED)
+        return h
+
+
+_WORDS = _Words()
+
+
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """A 64-bit hash of each run of `size` words, from the words' hashes; of all words if there are fewer; none without."""
+    if len(_WORDS) > 300_000:
+        _WORDS.clear()
+    w = np.array(list(map(_WORDS.__getitem__, words)), np.uint64)
+    size = min(size, len(w))
+    if not size:
+        return w
+    h, n = w[: len(w) - size + 1], len(w) - size + 1
+    for i in range(1, size):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n])
+    return _mix(h + np.uint64(size))
+
+
 def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(band fingerprints, minimum hashes) of a text's shingles; repeats count once."""
     h = np.unique(hashes)
     a, b = FACTORS
-    bands, slots = np.zeros(BANDS, np.int64), np.zeros(SLOTS, np.uint32)
+    bands, slots = np.zeros(BANDS, np.int64), np.zeros(SLOTS, np.uint8)
     for i in range(BANDS):
         x = (h ^ b[i]) * a[i]
         first = h[np.argpartition(x, ROWS - 1)[:ROWS]] if len(h) > ROWS else h
@@ -59,18 +93,22 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(h), 512):  # a very long text takes bounded memory
             np.minimum(low, ((h[at : at + 512, None] ^ b[BANDS:]) * a[BANDS:]).min(0), out=low)
-        slots = (low >> np.uint64(32)).astype(np.uint32)
+        slots = (_mix(low * np.uint64(0x94D049BB133111EB)) >> np.uint64(56)).astype(np.uint8)
     return bands, slots
 
 
-def _copy(text: bytes) -> str:
-    from xxhash import xxh128_hexdigest
+def _copy(words: list[bytes]) -> bytes:
+    from xxhash import xxh128_digest
+
+    return xxh128_digest(b" ".join(words))
+
 
-    return xxh128_hexdigest(b" ".join(text.lower().split()))
+def _split(text: bytes) -> list[bytes]:
+    return text.lower().split()  # of bytes: A-Z and the six ASCII blanks only
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, copy, fp, bands, slots): copy is equal for equal word sequences (two XXH64 hashes)."""
+    """(doc_id, copy, fp, bands, slots): copy is equal for equal word sequences (128 bits)."""
     rows = columns(docs, doc_id="long", text="string")
 
     def run(batches: Iterable) -> Iterator:
@@ -79,41 +117,62 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                texts = utf8(part.column(1))
-                hashes = [shingle_hashes(t, shingle) for t in texts]
+                texts = [_split(t) for t in utf8(part.column(1))]
+                hashes = [shingles(t, shingle) for t in texts]
                 made = [sketch(h) for h in hashes]
                 yield pa.record_batch(
-                    [part.column(0), pa.array([_copy(t) for t in texts]), pa.array([majority(h) for h in hashes], pa.int64()), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1].tobytes() for m in made], pa.binary())],
+                    [part.column(0), pa.array([_copy(t) for t in texts], pa.binary()), pa.array([majority(h) for h in hashes], pa.int64()), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1].tobytes() for m in made], pa.binary())],
                     ["doc_id", "copy", "fp", "bands", "slots"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, copy string, fp long, bands array<long>, slots binary")
+    return rows.mapInArrow(run, "doc_id long, copy binary, fp long, bands array<long>, slots binary")
 
 
 def stream_links(batches: Iterable, similarity: float) -> Iterator:
-    """Links (a, b) of sorted rows (band, key, node, slots): each group's members with the leaders they are similar to."""
+    """Rows (band, key, a, b) of sorted rows (band, key, salt, node, slots): each group's members with the leaders they resemble.
+
+    A leader is given with itself. A group is a key's rows of one salt.
+    """
     import pyarrow as pa
 
-    group, leaders, sketch_of, out = None, [], np.zeros((0, SLOTS), np.uint32), []
+    group, leaders, sketch_of, out = None, [], np.zeros((0, SLOTS), np.uint8), []
     for batch in batches:
-        keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        for key, node, slots in zip(keys, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            mine = np.frombuffer(slots, np.uint32)
+        keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+        for key, node, slots in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            mine = np.frombuffer(slots, np.uint8)
             if key != group:
                 group, leaders, sketch_of = key, [node], mine[None].copy()
+                out.append((*key[:2], node, node))
                 continue
             near = np.flatnonzero((sketch_of[: len(leaders)] == mine).mean(1) >= similarity)
-            out += [(node, leaders[i]) for i in near.tolist()]
+            out += [(*key[:2], node, leaders[i]) for i in near.tolist()]
             if not len(near):
                 if len(leaders) == len(sketch_of):  # room for twice as many
                     sketch_of = np.concatenate([sketch_of, np.zeros_like(sketch_of)])
                 sketch_of[len(leaders)] = mine
                 leaders.append(node)
-        cols = list(zip(*out)) or [[], []]
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+                out.append((*key[:2], node, node))
+        cols = list(zip(*out)) or [[], [], [], []]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["band", "key", "a", "b"])
         out = []
 
 
+def _led(met: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): candidates of rows (band, key, salt, first, node, slots), by leaders.
+
+    A key that very many texts have is dealt to several groups by salt; their leaders then meet in one.
+    """
+    order = ["band", "key", "salt"]
+    stream = lambda rows: rows.repartition(*order).sortWithinPartitions(*order, "first", "node").select(*order, "node", "slots").mapInArrow(lambda batches: stream_links(batches, similarity), "band int, key long, a long, b long")
+    made = scratch.keep(stream(met), "led")
+    salted = met.where("salt > 0").select("band", "key").distinct()
+    if not met.where("salt > 0").limit(1).count():
+        return made.where("a <> b").select("a", "b")
+    again = made.where("a = b").select("band", "key", F.col("a").alias("node")).join(F.broadcast(salted) if salted.count() < HOT else salted, ["band", "key"]).distinct()
+    leaders = met.join(again, ["band", "key", "node"]).withColumn("salt", F.lit(0).cast("long"))
+    return made.unionByName(stream(leaders)).where("a <> b").select("a", "b")
+
+
 def apart_links(batches: Iterable, similarity: float) -> Iterator:
     """Links (a, b) of sorted rows (band, key, x, y, mine, node, part, slots): similar texts of blocks x and y whose parts differ."""
     import pyarrow as pa
@@ -122,12 +181,12 @@ def apart_links(batches: Iterable, similarity: float) -> Iterator:
         (_, _, x, y), out = rows[0][0], []
         one, two = [r for r in rows if r[1] == x], [r for r in rows if r[1] == y]
         part = np.array([r[3] for r in two], np.int64)
-        slots = np.frombuffer(b"".join(r[4] for r in two), np.uint32).reshape(-1, SLOTS)
+        slots = np.frombuffer(b"".join(r[4] for r in two), np.uint8).reshape(-1, SLOTS)
         for i, (_, _, node, mine, sketch_) in enumerate(one):
             rest = np.flatnonzero(part != mine)
             if x == y:
                 rest = rest[rest > i]
-            near = rest[(slots[rest] == np.frombuffer(sketch_, np.uint32)).mean(1) >= similarity] if len(rest) else rest
+            near = rest[(slots[rest] == np.frombuffer(sketch_, np.uint8)).mean(1) >= similarity] if len(rest) else rest
             out += [(node, two[j][2]) for j in near.tolist()]
         return out
 
@@ -146,22 +205,31 @@ def apart_links(batches: Iterable, similarity: float) -> Iterator:
         yield made(compare(rows))
 
 
-def _apart(met: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): similar texts of a fingerprint that the links so far leave in different parts."""
+def _apart(met: DataFrame, parts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): similar texts of a fingerprint that the links so far leave in different parts.
+
+    The texts of a group's largest part are compared with all others, not with each other.
+    """
     key = ["band", "key"]
-    named = met.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).select(*key, "node", "part", "slots")
-    mixed = named.groupBy(*key).agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select(*key, F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    # Block pair (x, y), x <= y: a text of block m goes to (m, m..) and to (0..m, m).
-    both = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("x"), F.greatest(o, F.col("mine")).alias("y")))
-    dealt = named.join(mixed, key).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("to", F.explode(both)).select(*key, "to.x", "to.y", "mine", "node", "part", "slots")
+    named = scratch.keep(met.join(parts, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("part"), "slots"), "named")
+    sizes = named.groupBy(*key, "part").agg(F.count("*").alias("n")).groupBy(*key).agg(F.expr("max_by(part, struct(n, part))").alias("bulk"), F.max("n").alias("most"), F.sum("n").alias("_rl_n"), F.count("*").alias("parts"))
+    blocks = lambda n: F.ceil(n / BLOCK)
+    mixed = scratch.keep(sizes.where("parts > 1").select(*key, "bulk", "_rl_n", blocks(F.col("_rl_n") - F.col("most")).alias("others"), blocks(F.col("most")).alias("alike")), "mixed")
+    rows = with_groups(named, mixed, key).withColumn("in_bulk", F.col("part") == F.col("bulk"))
+    # Block pair (x, y), x <= y, blocks of the others first: these go to (m, m..) and to (0..m, m), the rest to (0..others, m).
+    spread = F.xxhash64("node")
+    mine = F.when(F.col("in_bulk"), F.col("others") + F.pmod(spread, F.col("alike"))).otherwise(F.pmod(spread, F.col("others")))
+    upto = F.col("others") + F.when(F.col("in_bulk"), F.lit(0)).otherwise(F.col("alike"))
+    both = F.transform(F.sequence(F.lit(0).cast("long"), upto - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("x"), F.greatest(o, F.col("mine")).alias("y")))
+    dealt = rows.withColumn("mine", mine).withColumn("to", F.explode(both)).select(*key, "to.x", "to.y", "mine", "node", "part", "slots")
     group = [*key, "x", "y"]
     return dealt.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(lambda batches: apart_links(batches, similarity), "a long, b long").distinct()
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _exact(pairs: DataFrame, docs: DataFrame, texts: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
     """The (a, b) of pairs whose texts' shingle sets have a Jaccard similarity of at least `similarity`."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "copy", "first"), "node")
-    ends, _ = materialise(ends, "ends")
+    ends = scratch.keep(ends, "ends")
     rows = columns(docs, doc_id="long", text="string")
     first = ends.select(F.col("first").alias("_rl_first")).distinct()
 
@@ -170,8 +238,8 @@ def _exact(pairs: DataFrame, docs: DataFrame, texts: DataFrame, shingle: int, si
 
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                made = utf8(batch.slice(at, 128).column(1))
-                yield pa.record_batch([pa.array([_copy(t) for t in made]), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in made], pa.binary())], ["copy", "shingles"])
+                made = [_split(t) for t in utf8(batch.slice(at, 128).column(1))]
+                yield pa.record_batch([pa.array([_copy(t) for t in made], pa.binary()), pa.array([np.unique(shingles(t, shingle)).tobytes() for t in made], pa.binary())], ["copy", "shingles"])
 
     def decide(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -181,42 +249,48 @@ def _exact(pairs: DataFrame, docs: DataFrame, texts: DataFrame, shingle: int, si
             for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                on.append(both / max(1, len(x) + len(y) - both) >= similarity)
+                on.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.record_batch([b.column("a").filter(pa.array(on, pa.bool_())), b.column("b").filter(pa.array(on, pa.bool_()))], ["a", "b"])
 
     # A text's first row has it, among rows of the same id.
-    spelled = rows.join(first, rows["doc_id"].eqNullSafe(first["_rl_first"]), "left_semi").mapInArrow(spell, "copy string, shingles binary")
-    sets = ends.join(spelled.dropDuplicates(["copy"]), "copy").select("node", "shingles")
-    sets, _ = materialise(sets, "shingles")
+    spelled = rows.join(first, rows["doc_id"].eqNullSafe(first["_rl_first"]), "left_semi").mapInArrow(spell, "copy binary, shingles binary")
+    sets = scratch.keep(ends.join(spelled.dropDuplicates(["copy"]), "copy").select("node", "shingles"), "shingles")
     met = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return met.mapInArrow(decide, "a long, b long")
 
 
 def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(doc_id, copy, component): component names the near-duplicate group."""
-    made, _ = materialise(sketches(docs, shingle), "sketches")
-    texts = made.groupBy("copy").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("slots").alias("slots"))
-    texts, _ = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
-    met = texts.select(F.posexplode("bands").alias("band", "key"), "node", "first", "slots")
-    shared = met.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    met = met.join(shared, ["band", "key"])
-    in_order = met.repartition("band", "key").sortWithinPartitions("band", "key", "first", "node").select("band", "key", "node", "slots")
-    by_sketch = in_order.mapInArrow(lambda batches: stream_links(batches, similarity - MARGIN), "a long, b long")
-    # Links of the whole texts' fingerprints, and from each fingerprint (as a node below zero) to its texts.
-    prints = texts.groupBy("fp").agg(F.min("node").alias("node"))
-    ends = fingerprint_links(prints.select("fp"), radius)
-    named = ends.join(prints.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
-    pairs = named.select("x", "y").unionByName(texts.join(prints.select("fp", F.col("node").alias("y")), "fp").select(F.col("node").alias("x"), "y").where("x <> y"))
-    # A fingerprint can agree by chance where texts are short: these pairs must be similar too.
-    slots = texts.select("node", "slots")
-    close = pairs.join(slots.toDF("x", "sx"), "x").join(slots.toDF("y", "sy"), "y").mapInArrow(_agreeing(similarity - MARGIN), "a long, b long")
-    near, _ = materialise(by_sketch.unionByName(close).distinct(), "candidates")
-    links, _ = materialise(_exact(near, docs, texts, shingle, similarity), "links")
-    more, _ = materialise(_apart(met, connected_components(links), similarity - MARGIN), "apart")
-    apart, _ = materialise(_exact(more, docs, texts, shingle, similarity), "links")
-    parts = connected_components(links.unionByName(apart))
-    component = texts.join(parts, "node", "left").select("copy", F.coalesce("component", "node").alias("component"))
-    return made.select("doc_id", "copy").join(component, "copy")
+    near_enough = similarity - MARGIN
+    with Scratch() as scratch:
+        made = scratch.keep(sketches(docs, shingle), "sketches")
+        texts = made.groupBy("copy").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("slots").alias("slots"))
+        texts = scratch.keep(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+        # Fingerprints that several texts have, then these texts' minimum hashes.
+        keys = texts.select(F.posexplode("bands").alias("band", "key"), "node")
+        shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key", "n", F.col("n").alias("_rl_n"))
+        meeting = with_groups(keys, scratch.keep(shared, "shared"), ["band", "key"]).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / SPLIT))).drop("n")
+        met = scratch.keep(meeting.join(texts.select("node", "first", "slots"), "node"), "meeting")
+        with Scratch() as first:
+            by_sketch = _led(met, near_enough, first)
+            # Links of the whole texts' fingerprints, and from each fingerprint's first text to its others.
+            prints = first.keep(texts.groupBy("fp").agg(F.min("node").alias("node")), "prints")
+            ends = fingerprint_links(prints.select("fp"), radius)
+            named = ends.join(prints.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+            alike = with_least(texts.select("fp", F.col("node").alias("x")), "fp", "x", "y", first).where("x <> y").select("x", "y")
+            pairs = named.select("x", "y").unionByName(alike)
+            # A fingerprint can agree by chance where texts are short: these pairs must be similar too.
+            slots = texts.select("node", "slots")
+            close = pairs.join(slots.toDF("x", "sx"), "x").join(slots.toDF("y", "sy"), "y").mapInArrow(_agreeing(near_enough), "a long, b long")
+            near = first.keep(by_sketch.unionByName(close).distinct(), "candidates")
+            links = scratch.keep(_exact(near, docs, texts, shingle, similarity, first), "links")
+        with Scratch() as second:
+            parts = second.keep(connected_components(links), "parts")
+            more = second.keep(_apart(met, parts, near_enough, second), "apart")
+            apart = scratch.keep(_exact(more, docs, texts, shingle, similarity, second), "links")
+        parts = connected_components(links.unionByName(apart))
+        component = texts.join(parts, "node", "left").select("copy", F.coalesce("component", "node").alias("component"), "first")
+        return materialise(made.select("doc_id", "copy").join(component, "copy"), "near")[0]
 
 
 def _agreeing(similarity: float):
@@ -224,7 +298,7 @@ def _agreeing(similarity: float):
         import pyarrow as pa
 
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, SLOTS) for c in ("sx", "sy"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in ("sx", "sy"))
             on = pa.array((x == y).mean(1) >= similarity)
             yield pa.record_batch([b.column("x").filter(on), b.column("y").filter(on)], ["a", "b"])
 
@@ -233,10 +307,11 @@ def _agreeing(similarity: float):
 
 def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id, with all its columns."""
-    found, _ = materialise(groups(docs, shingle, similarity), "near")
-    best = found.groupBy("component").agg(F.min("doc_id").alias("best"))
-    # Ids and copies that stay; the same pair twice is a repeated row.
-    gone = found.join(best, "component").where(~F.col("doc_id").eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("_rl_id")).distinct()
+    found = groups(docs, shingle, similarity)
+    with Scratch() as scratch:
+        best = with_least(found, "component", "doc_id", "best", scratch)
+        # Ids that go. A group without ids has no smallest: its null ids stay.
+        gone = materialise(best.where(~F.col("doc_id").eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("_rl_id")).distinct(), "gone")[0]
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_rl_id"]), "left_anti")
     twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_rl_id"))
     if not twice.limit(1).count():

@@ -17,12 +17,12 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import columns, materialise, utf8
+from rasterloom.llm.common import Scratch, columns, materialise, utf8, with_groups, with_least
 from rasterloom.llm.components import connected_components
 
 SEED = 42
-#: Distinct fingerprints that the shard tree is fitted on, about, however many there are; chosen by their hash.
-SAMPLE = 20_000
+#: Distinct fingerprints that the shard tree is fitted on, chosen by their hash: about SAMPLE + GROWTH * sqrt(all of them).
+SAMPLE, GROWTH = 20_000, 64
 
 
 def shingle_hashes(text: bytes, size: int):
@@ -75,7 +75,7 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
 
     half = (radius + 1) // 2
     n = distinct.count()
-    share = int(2**40 * min(1.0, SAMPLE / max(n, 1)))
+    share = int(2**40 * min(1.0, (SAMPLE + GROWTH * n**0.5) / max(n, 1)))
     picked = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(2**40)) < share).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     # A shard holds some 4096 fingerprints, whatever their number, down to the tree's bound on leaves.
     tree = Tree(picked, half, max(32, int(4096 * len(picked) / max(n, 1))))
@@ -104,9 +104,9 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id reachable over links of at most `radius` differing bits."""
     prints, _ = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    groups, _ = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
-    parts = connected_components(fingerprint_links(groups.select("fp"), radius))
-    named = groups.join(parts, groups["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_print = named.join(least, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    with Scratch() as scratch:
+        groups = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("_rl_n")), "groups")
+        parts = connected_components(fingerprint_links(groups.select("fp"), radius))
+        named = scratch.keep(groups.join(parts, groups["fp"] == parts["node"], "left").select("fp", "first", "_rl_n", F.coalesce("component", "fp").alias("component")), "named")
+        by_print = materialise(with_least(named, "component", "first", "component_id", scratch).select("fp", "component_id", "_rl_n"), "prints")[0]
+    return with_groups(prints, by_print, ["fp"]).select("doc_id", "fp", "component_id")

@@ -35,7 +35,7 @@ def _split(x: np.ndarray, half: int, rng: np.random.Generator) -> tuple[int, int
 class Tree:
     """points, radii: of inner nodes; child[i] = (near, far), a node number or ~leaf."""
 
-    def __init__(self, sample: np.ndarray, half: int, leaf: int, seed: int = 7, most: int = 1 << 14):
+    def __init__(self, sample: np.ndarray, half: int, leaf: int, seed: int = 7, most: int = 1 << 18):
         rng = np.random.default_rng(seed)
         self.half, self.points, self.radii, self.child, self.leaves = half, [], [], [], 0
         todo = [(np.unique(sample), None)]
