@@ -217,18 +217,31 @@ def test_licenses_all_in_one_text(spark):
 
 
 def test_preferences(spark):
-    rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (0, 2, "user", "a"), (0, 3, "assistant", "good"), (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "b"), (1, 3, "assistant", "bad"), (2, 0, None, None), (4, 0, "user", "same"), (5, 0, "user", "same"), (None, 0, "user", "x"), (6, None, "user", "t"), (6, None, "user", "t")]
+    rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (0, 2, "user", "a"), (0, 3, "assistant", "good"), (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "b"), (1, 3, "assistant", "bad"), (2, 0, None, None), (4, 0, "user", "same"), (5, 0, "user", "same"), (None, 0, "user", "x"), (6, None, "user", "t"), (6, None, "user", "t"), (-1, 0, "user", "negative"), (-2, 0, "user", "neg2"), (8, 0, "user", "long " * 40_000), (9, 0, "user", "long " * 40_000)]
     turns = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, pair_id string")
-    got = {r["pair_id"]: r for r in chat.preferences(turns, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0).collect()}
-    assert set(got) == {0, 1, 2, 3, None}
+    got = {r["pair_id"]: r for r in chat.preferences(turns, F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(F.lit(1)) == 0).collect()}
+    assert set(got) == {-1, 0, 1, 2, 3, 4}
     p = got[0]
     assert p["n_prompt_turns"] == 2 and p["prompt"] == "<|user|>\nhi<|end|>\n<|assistant|>\nhello<|end|>\n"
     (span,) = p["chosen_spans"]
     assert p["chosen"][span["start"] : span["stop"]] == "good<|end|>\n" and p["rejected"].startswith("<|user|>\nb")
     assert got[2]["n_prompt_turns"] == 1 and got[2]["chosen"] == "" and got[1]["chosen"].startswith("<|unknown|>\n<|end|>") and not got[1]["has_both"]
+    assert "neg2" in got[-1]["chosen"] and "negative" in got[-1]["rejected"] and got[4]["n_prompt_turns"] == 1 and len(got[4]["prompt"]) > 200_000
     assert chat.preferences(turns.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
 
 
+def test_preferences_sql_has_the_same_rule(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from rasterloom.llm import queries
+
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{c} {t}" if t else "same") for c in (None, -3, -2, -1, 0, 1, 7, 2**60 + 1, 2**60) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(map(tuple, queries.QUERIES["op4_preferences"](spark, str(tmp_path)).collect()))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        assert got == sorted(c.execute(queries.SQL["op4_preferences"]).fetchall()) and len(got) == 5
+
+
 def test_resharding(spark, odd, none):
     rng = np.random.default_rng(2)
     docs = spark.createDataFrame([(i, "é" * int(n)) for i, n in enumerate(rng.integers(0, 400, 3000))] + [(None, None), (5, "twice"), (5, "twice")], "doc_id long, text string")
@@ -248,6 +261,35 @@ def test_resharding_keeps_tiny_rows(spark):
     assert sorted(r["doc_id"] for r in sharding.reshard(docs, F.lit(0), 1, 16).collect()) == [1, 2]
 
 
+def test_resharding_around_a_large_row(spark):
+    """One row larger than a shard's share: the others fill the other shards evenly."""
+    docs = spark.createDataFrame([(0, "x" * 500_000)] + [(i, "tiny text") for i in range(1, 3000)], "doc_id long, text string")
+    placed = sharding.reshard(docs, F.pmod(F.xxhash64("doc_id"), F.lit(12)), 12, 16).toPandas()
+    assert len(placed) == 3000
+    home = placed[placed["doc_id"] == 0]["shard"].iloc[0]
+    sizes = placed[placed["shard"] != home].groupby("shard")["size"].sum()
+    assert len(sizes) == 15 and sizes.max() - sizes.min() <= 60 and (placed["shard"] == home).sum() == 1
+
+
+def test_level():
+    assert sharding.level(10, [0, 0, 100]) == [5, 5, 0] and sharding.level(7, [4, 1, 0]) == [0, 3, 4] and sharding.level(0, [3, 1]) == [0, 0]
+
+
+def test_rewrite_touches_moved_shards_only(spark, tmp_path):
+    rows = [(i, "text " * (i % 17), "clash") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    old = F.when(F.col("doc_id") < 300, F.pmod("doc_id", F.lit(3))).otherwise(F.lit(3)).cast("int")
+    placed = sharding.reshard(docs, old, 4, 4)
+    placed = spark.createDataFrame(placed.collect(), placed.schema)
+    path = str(tmp_path / "shards")
+    docs.withColumn("_rl_shard", old).withColumn("_rl_slot", F.col("doc_id")).write.partitionBy("_rl_shard").parquet(path)
+    touched = sharding.rewrite(docs, placed, path)
+    moved = placed.where("old <> shard").collect()
+    assert touched == sorted({s for r in moved for s in (r["old"], r["shard"])}) and moved
+    got = {(r["doc_id"], r["_rl_shard"]) for r in spark.read.parquet(path).collect()}
+    assert got == {(r["doc_id"], r["shard"]) for r in placed.collect()} and spark.read.parquet(path).count() == 400
+
+
 def test_min_cost_flow():
     flow = sharding.min_cost_flow([10, 2, 0], [4, 4, 4], [[int(i != j) for j in range(3)] for i in range(3)])
     assert [sum(c) for c in zip(*flow)] == [4, 4, 4] and [sum(r) for r in flow] == [10, 2, 0]
@@ -271,6 +313,29 @@ def test_embeddings(spark):
     assert embed.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_embedding_recall(spark):
+    """Pairs planted just above the threshold among many others: links found, against all pairs."""
+    rng = np.random.default_rng(14)
+    base = rng.standard_normal((9000, 32))
+    noise = rng.standard_normal((1500, 32))
+    noise -= (noise * base[:1500]).sum(1, keepdims=True) / (base[:1500] ** 2).sum(1, keepdims=True) * base[:1500]
+    angle = np.arccos(rng.uniform(0.9802, 0.995, 1500))[:, None]
+    size = np.linalg.norm(base[:1500], axis=1, keepdims=True)
+    x = np.concatenate([base, np.cos(angle) * base[:1500] + np.sin(angle) * size * noise / np.linalg.norm(noise, axis=1, keepdims=True)])
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embed.near_vectors(frame).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    wanted = np.concatenate([(unit[i : i + 500] @ unit.T >= 0.98).sum(1) - 1 for i in range(0, len(x), 500)])
+    assert wanted.sum() >= 3000 and all(got[i] <= n for i, n in enumerate(wanted))
+    assert sum(got.values()) >= 0.99 * wanted.sum()
+
+
+def test_embeddings_of_extreme_size(spark):
+    rows = [(0, [1e200, 0.0], 1), (1, [1e200, 1e200], 1), (2, [1.0, 0.01], 1), (3, [1e-200, 1e-200], 1), (4, [3e-320, 0.0], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (2, 0), 2: (2, 0), 4: (2, 0), 1: (1, 1), 3: (1, 1)}
+
+
 def test_embedding_blocks(spark):
     """A bucket larger than a block gives every pair once."""
     embed.BLOCK, before = 16, embed.BLOCK
