@@ -29,9 +29,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import HOT, Scratch, columns, materialise, utf8, with_groups, with_least
+from rasterloom.llm.common import HOT, Scratch, columns, materialise, release, utf8, with_groups, with_least
 from rasterloom.llm.components import connected_components
-from rasterloom.llm.simhash import SEED, fingerprint_links, majority
+from rasterloom.llm.simhash import fingerprint_links, majority
 
 BANDS, ROWS, SLOTS = 12, 3, 64
 #: Texts in a block of those compared pair by pair; texts that are streamed past the same leaders.
@@ -53,58 +53,71 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class _Words(dict):
-    """The hash of each word, made when it is first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        h = self[word] = xxh64_intdigest(word, SEED)
-        return h
-
-
-_WORDS = _Words()
-
-
-def shingles(words: list[bytes], size: int) -> np.ndarray:
-    """A 64-bit hash of each run of `size` words, from the words' hashes; of all words if there are fewer; none without."""
-    if len(_WORDS) > 300_000:
-        _WORDS.clear()
-    w = np.array(list(map(_WORDS.__getitem__, words)), np.uint64)
-    size = min(size, len(w))
-    if not size:
-        return w
-    h, n = w[: len(w) - size + 1], len(w) - size + 1
-    for i in range(1, size):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n])
-    return _mix(h + np.uint64(size))
+#: A random number for each byte, an odd base of the polynomial that strings of them make, and its inverse.
+_BYTES = np.random.default_rng(23).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Shingles that are hashed at once.
+_AT_ONCE = 1 << 16
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse, at least."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            x = np.full(1 << (n - 1).bit_length(), base, np.uint64)
+            x[0] = 1
+            _POWERS[i] = np.cumprod(x, dtype=np.uint64)
+    return _POWERS
+
+
+def shingles(joined: bytes, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of `size` words, of words joined by one blank; of all words if there are fewer; none without."""
+    if not joined:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(joined, np.uint8)
+    blanks = np.flatnonzero(data == 32)
+    size = min(size, len(blanks) + 1)
+    starts = np.concatenate([[0], blanks[: len(blanks) + 1 - size] + 1])
+    stops = np.concatenate([blanks[size - 1 :], [len(data)]])
+    out = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), _AT_ONCE):
+        a, b = starts[at : at + _AT_ONCE], stops[at : at + _AT_ONCE]
+        part = data[a[0] : b[-1]]
+        powers, inverse = _powers(len(part) + 1)
+        # A string's polynomial is a difference of prefix sums, moved to its start.
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[part] * powers[: len(part)], dtype=np.uint64)])
+        out[at : at + _AT_ONCE] = (sums[b - a[0]] - sums[a - a[0]]) * inverse[a - a[0]]
+    return _mix(_mix(out) + np.uint64(size))
 
 
 def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(band fingerprints, minimum hashes) of a text's shingles; repeats count once."""
     h = np.unique(hashes)
-    a, b = FACTORS
-    bands, slots = np.zeros(BANDS, np.int64), np.zeros(SLOTS, np.uint8)
+    if not len(h):
+        return np.zeros(BANDS, np.int64), np.zeros(SLOTS, np.uint8)
+    (a, b), first = FACTORS, np.empty((BANDS, min(ROWS, len(h))), np.uint64)
     for i in range(BANDS):
-        x = (h ^ b[i]) * a[i]
-        first = h[np.argpartition(x, ROWS - 1)[:ROWS]] if len(h) > ROWS else h
-        bands[i] = majority(first) ^ int(np.bitwise_xor.reduce(first * a[i]).view(np.int64)) if len(h) else 0
-    if len(h):
-        low = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(h), 512):  # a very long text takes bounded memory
-            np.minimum(low, ((h[at : at + 512, None] ^ b[BANDS:]) * a[BANDS:]).min(0), out=low)
-        slots = (_mix(low * np.uint64(0x94D049BB133111EB)) >> np.uint64(56)).astype(np.uint8)
-    return bands, slots
-
-
-def _copy(words: list[bytes]) -> bytes:
+        first[i] = h[np.argpartition((h ^ b[i]) * a[i], ROWS - 1)[:ROWS]] if len(h) > ROWS else h
+    # The SimHash of up to three: bits that are set in over half of them.
+    one, two, three = first[:, 0], first[:, min(1, len(h) - 1)], first[:, -1]
+    most = (one & two) | (one & three) | (two & three) if len(h) > 2 else one & two
+    bands = most ^ np.bitwise_xor.reduce(first * a[:BANDS, None], axis=1)
+    low = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 512):  # a very long text takes bounded memory
+        np.minimum(low, ((h[at : at + 512, None] ^ b[BANDS:]) * a[BANDS:]).min(0), out=low)
+    return bands.view(np.int64), (_mix(low * np.uint64(0x94D049BB133111EB)) >> np.uint64(56)).astype(np.uint8)
+
+
+def _copy(joined: bytes) -> bytes:
     from xxhash import xxh128_digest
 
-    return xxh128_digest(b" ".join(words))
+    return xxh128_digest(joined)
 
 
-def _split(text: bytes) -> list[bytes]:
-    return text.lower().split()  # of bytes: A-Z and the six ASCII blanks only
+def _words(text: bytes) -> bytes:
+    """A text's words, A-Z in lower case, joined by one blank; the six ASCII blanks part words."""
+    return b" ".join(text.lower().split())
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -114,10 +127,11 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                texts = [_split(t) for t in utf8(part.column(1))]
+                texts = [_words(t) for t in utf8(part.column(1))]
                 hashes = [shingles(t, shingle) for t in texts]
                 made = [sketch(h) for h in hashes]
                 yield pa.record_batch(
@@ -238,7 +252,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, texts: DataFrame, shingle: int, si
 
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                made = [_split(t) for t in utf8(batch.slice(at, 128).column(1))]
+                made = [_words(t) for t in utf8(batch.slice(at, 128).column(1))]
                 yield pa.record_batch([pa.array([_copy(t) for t in made], pa.binary()), pa.array([np.unique(shingles(t, shingle)).tobytes() for t in made], pa.binary())], ["copy", "shingles"])
 
     def decide(batches: Iterable) -> Iterator:
