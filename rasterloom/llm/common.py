@@ -120,6 +120,25 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def release() -> None:
+    """Gives back what this worker holds beyond its task: another operator's caches, and memory that was freed in small pieces.
+
+    Workers are used again by later stages, so a task that needs much memory begins and ends with this.
+    """
+    import ctypes
+    import sys
+
+    import pyarrow as pa
+
+    if (subwords := sys.modules.get("rasterloom.llm.subwords")) is not None:
+        subwords._LAST.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def utf8(column) -> list[bytes]:
     """The texts of an Arrow string column as bytes, null as empty, without making Python strings."""
     import pyarrow as pa

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import discard, materialise, utf8, with_groups
+from rasterloom.llm.common import discard, materialise, release, utf8, with_groups
 from rasterloom.session import ship
 
 SAMPLE = 20_000
@@ -159,6 +159,7 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample
     def logits(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
+        release()
         for b in batches:
             z = [model.logit(t) for t in utf8(b.column("text"))] if model else [float("-inf")] * b.num_rows
             yield pa.record_batch([b.column("doc_id"), b.column("host"), b.column("path"), pa.array(z, pa.float64())], ["doc_id", "host", "path", "logit"])

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import Scratch, materialise, with_groups
+from rasterloom.llm.common import Scratch, materialise, release, with_groups
 from rasterloom.llm.deepshallow import classes, words
 from rasterloom.session import ship
 
@@ -298,6 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     by_block = marks.groupBy("block")
 
     def offer(key, t):
+        release()
         codes = block_keys(_documents(t)[0], length, buckets)
         cut = np.flatnonzero(np.diff(codes >> 32)) + 1
         parts = [c for c in np.split(codes, cut) if len(c)]
@@ -316,6 +317,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     sent_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("gone", pa.bool_()), ("data", pa.binary())])
 
     def send(key, t, replies):
+        release()
         docs, _, _ = _documents(t)
         known, spread = (_codes(replies.column("bucket").to_pylist(), replies.column("known").to_pylist(), i) for i in (0, 1))
         out, gone = block_runs(docs, length, buckets, known, spread)
@@ -327,6 +329,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, sent_schema)], schema=sent_schema)
 
     def judge(key, t):
+        release()
         flags, sources, data = (t.column(c).to_pylist() for c in ("gone", "block", "data"))
         made = [(b, d) for g, b, d in zip(flags, sources, data) if g]
         parts = [(b, *_unpack(d, np.int64, np.int32, np.int32, np.int32, np.int32, bytes)) for g, b, d in zip(flags, sources, data) if not g]
@@ -349,6 +352,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     kept_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
 
     def apply(key, t, replies):
+        release()
         docs, order, copies = _documents(t)
         parts = [_unpack(d, np.int32, np.int32, np.int32) for d in replies.column("data").to_pylist()]
         index, start, stop = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 3
