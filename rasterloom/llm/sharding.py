@@ -2,8 +2,10 @@
 
 The sizes of the old shards and the capacities of the new ones make a small flow problem, solved on the driver: its
 size depends on the numbers of shards only. The flow says how many bytes each old shard sends to each new one; blocks
-of rows in hash order are cut to these amounts. Rows over the mean size go first, and as none can be cut, the flow is
-solved again for the others: they fill the shards to one level above what the large ones left. All prefix sums go by
+of rows in hash order are cut to these amounts. As no row can be cut, there are three flows: rows larger than a shard's
+even share (fewer than there are shards) go whole to one shard each, at the fewest bytes moved; then each old shard's
+rows over the mean size and its others are supplies of their own of one flow, which places the former; then the flow
+is solved again for the others: they fill the shards to one level above what the large ones left. All prefix sums go by
 block, of which there are as many as the session has shuffle partitions, so no task holds a shard; rows are dealt to
 blocks by their place in the input too, so equal ids and equal rows do not gather.
 
@@ -57,10 +59,6 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]])
             left[v, u] += push
 
 
-def even(total: int, shards: int) -> list[int]:
-    return [total // shards + (i < total % shards) for i in range(shards)]
-
-
 def level(total: int, have: list[int]) -> list[int]:
     """What brings all shards that have less to one level, `total` in all."""
     order, room = sorted(range(len(have)), key=lambda j: (have[j], j)), [0] * len(have)
@@ -101,24 +99,30 @@ def reshard(docs: DataFrame, old: Column, old_shards: int, shards: int, id_col:
     size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(F.encode(text, "UTF-8"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), old.cast("int").alias("old"))
     width = shuffle_width(docs.sparkSession)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(width)).cast("int"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(width)).cast("int"))
     rows, at = materialise(rows, "sizes")
-    sizes = {r["old"]: (r["bytes"], r["n"]) for r in rows.groupBy("old").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-    supply = [sizes.get(i, (0, 0))[0] for i in range(old_shards)]
+    n_rows, total = rows.agg(F.count("*"), F.sum("size")).first()
+    total = total or 0
+    huge = rows.where(F.col("size") * shards > total).select("row", "old", "size").orderBy("row").collect()  # fewer than there are shards, or one
+    flow = min_cost_flow([1] * len(huge), [1] * shards, [[0 if r["old"] == j else r["size"] for j in range(shards)] for r in huge])
+    home = [(r["row"], f.index(1)) for r, f in zip(huge, flow)]
+    have = [sum(r["size"] for r, (_, at_) in zip(huge, home) if at_ == j) for j in range(shards)]
+    homes = F.broadcast(docs.sparkSession.createDataFrame(home or [(-1, 0)], "row long, shard int"))
+    whole = rows.join(homes, "row").select("old", "block", "doc_id", "size", "text_crc32", "shard")
+    rest, mean = rows.join(homes, "row", "left_anti").drop("row"), total // max(1, n_rows)
+    large, small = rest.where(F.col("size") > mean), rest.where(F.col("size") <= mean)
+    sums = rest.groupBy("old").agg(F.sum(F.when(F.col("size") > mean, F.col("size")).otherwise(0)).alias("large"), F.sum("size").alias("all")).collect()
+    of = {r["old"]: (r["large"], r["all"] - r["large"]) for r in sums}
+    of_large, of_small = ([of.get(i, (0, 0))[k] for i in range(old_shards)] for k in (0, 1))
     cost = [[int(i != j) for j in range(shards)] for i in range(old_shards)]
-    flow = min_cost_flow(supply, even(sum(supply), shards), cost)
-    mean = sum(supply) // max(1, sum(n for _, n in sizes.values()))
-    large, small = rows.where(F.col("size") > mean), rows.where(F.col("size") <= mean)
-    of_large = {r["old"]: r["bytes"] for r in large.groupBy("old").agg(F.sum("size").alias("bytes")).collect()}
-    share = {(i, j): flow[i][j] * of_large.get(i, 0) // max(1, supply[i]) for i in range(old_shards) for j in range(shards)}
-    for i in of_large:  # a few bytes can round to nothing everywhere: they go where most of the shard goes
-        if not any(share[i, j] for j in range(shards)):
-            share[i, max(range(shards), key=lambda j: flow[i][j])] = 1
-    large, path = materialise(_cut(large, share), "large")
-    have = {r["shard"]: r["bytes"] for r in large.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}
-    left = [supply[i] - of_large.get(i, 0) for i in range(old_shards)]
-    flow = min_cost_flow(left, level(sum(left), [have.get(j, 0) for j in range(shards)]), cost)
-    placed, _ = materialise(large.unionByName(_cut(small, {(i, j): flow[i][j] for i in range(old_shards) for j in range(shards)})), "placed")
+    amounts = lambda flow: {(i, j): x for i, line in enumerate(flow) for j, x in enumerate(line)}
+    # Large and small rows are supplies of one flow; then the small ones' is solved for the room that whole large rows left.
+    flow = min_cost_flow(of_large + of_small, level(sum(of_large + of_small), have), cost + cost)
+    large, path = materialise(whole.unionByName(_cut(large, amounts(flow[:old_shards]))), "large")
+    got = {r["shard"]: r["bytes"] for r in large.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}
+    flow = min_cost_flow(of_small, level(sum(of_small), [got.get(j, 0) for j in range(shards)]), cost)
+    placed, _ = materialise(large.unionByName(_cut(small, amounts(flow))), "placed")
     discard(docs.sparkSession, path)
     discard(docs.sparkSession, at)
     return _slots(placed)

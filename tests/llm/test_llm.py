@@ -275,6 +275,17 @@ def test_level():
     assert sharding.level(10, [0, 0, 100]) == [5, 5, 0] and sharding.level(7, [4, 1, 0]) == [0, 3, 4] and sharding.level(0, [3, 1]) == [0, 0]
 
 
+def test_resharding_keeps_what_need_not_move(spark):
+    """Rows larger than a shard's share: one of each old shard stays, of two in one the smaller moves; the rest is level."""
+    big = [(0, "x" * 90_000, 5), (1, "y" * 80_000, 5), (2, "z" * 70_000, 3)]
+    docs = spark.createDataFrame(big + [(i, "w" * (20 if i % 9 else 200), i % 6) for i in range(3, 2000)], "doc_id long, text string, at int")
+    placed = sharding.reshard(docs, F.col("at"), 6, 8).toPandas()
+    home = placed.set_index("doc_id")["shard"]
+    assert len(placed) == 2000 and home[0] == 5 and home[2] == 3 and home[1] not in (3, 5)
+    sizes = placed[~placed["shard"].isin(home[[0, 1, 2]])].groupby("shard")["size"].sum()
+    assert len(sizes) == 5 and sizes.max() - sizes.min() <= 500
+
+
 def test_rewrite_touches_moved_shards_only(spark, tmp_path):
     rows = [(i, "text " * (i % 17), "clash") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
