@@ -12,6 +12,8 @@ more links them.
 A group that meets is streamed past its leaders: a text is a candidate with each leader it resembles, and leads itself
 if there is none. Most copies are joined by this. Then, in each group whose texts are not all joined, every pair of
 texts that are still apart is compared; a group over BLOCK texts is dealt to pairs of blocks, where every two texts meet.
+A block's texts bring their shingle sets, so the exact similarity is decided there, and what leaves the block is a link
+for each two parts that it joins: many near copies that stay below the threshold make no rows.
 
 Exact copies are one text from the start. Links of both kinds make components, and the smallest id of each stays.
 Intermediate tables go as soon as the next one is written; minimum hashes are shuffled only for texts that meet others.
@@ -187,21 +189,53 @@ def _led(met: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     return made.unionByName(stream(leaders)).where("a <> b").select("a", "b")
 
 
-def apart_links(batches: Iterable, similarity: float) -> Iterator:
-    """Links (a, b) of sorted rows (band, key, x, y, mine, node, part, slots): similar texts of blocks x and y whose parts differ."""
+def _alike(one: list[np.ndarray], two: list[np.ndarray], i: int, rest: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of two's sets `rest` have a Jaccard similarity of at least `similarity` with one's i-th; sets are sorted hashes."""
+    mine = one[i]
+    if not len(rest):
+        return rest
+    sizes = np.array([len(two[j]) for j in rest])
+    rest, sizes = (x[np.minimum(sizes, len(mine)) >= similarity * np.maximum(sizes, len(mine))] for x in (rest, sizes))
+    on = np.zeros(len(rest), bool)
+    for at in range(0, len(rest), 256):  # long texts take bounded memory
+        theirs, n = [two[j] for j in rest[at : at + 256]], sizes[at : at + 256]
+        every = np.concatenate(theirs)
+        place = np.searchsorted(mine, every)
+        hit = mine[np.minimum(place, len(mine) - 1)] == every if len(mine) else np.zeros(len(every), bool)
+        hits = np.concatenate([[0], np.cumsum(hit)])
+        stop = np.cumsum(n)
+        both = hits[stop] - hits[stop - n]
+        on[at : at + 256] = both >= similarity * (len(mine) + n - both)
+    return rest[on]
+
+
+def apart_links(batches: Iterable, similarity: float, exact: float | None = None) -> Iterator:
+    """Links (a, b) of sorted rows (band, key, x, y, mine, node, part, slots): similar texts of blocks x and y whose parts differ.
+
+    exact: rows have the shingle sets too; links reach this similarity of them, one for each part that a text joins.
+    """
     import pyarrow as pa
 
     def compare(rows: list) -> list:
         (_, _, x, y), out = rows[0][0], []
         one, two = [r for r in rows if r[1] == x], [r for r in rows if r[1] == y]
         part = np.array([r[3] for r in two], np.int64)
+        own = part if x == y else np.array([r[3] for r in one], np.int64)
         slots = np.frombuffer(b"".join(r[4] for r in two), np.uint8).reshape(-1, SLOTS)
-        for i, (_, _, node, mine, sketch_) in enumerate(one):
-            rest = np.flatnonzero(part != mine)
+        if exact is not None:
+            mine, theirs = ([np.frombuffer(r[5], np.uint64) for r in side] for side in (one, two))
+        for i, r in enumerate(one):
+            rest = np.flatnonzero(part != own[i])
             if x == y:
                 rest = rest[rest > i]
-            near = rest[(slots[rest] == np.frombuffer(sketch_, np.uint8)).mean(1) >= similarity] if len(rest) else rest
-            out += [(node, two[j][2]) for j in near.tolist()]
+            near = rest[(slots[rest] == np.frombuffer(r[4], np.uint8)).mean(1) >= similarity] if len(rest) else rest
+            if exact is not None and len(near):
+                near = _alike(mine, theirs, i, near, exact)
+                met, first = np.unique(part[near], return_index=True)
+                near = near[first]
+                for side in (part, own):  # the parts that it joins are one from here on
+                    side[np.isin(side, met)] = own[i]
+            out += [(r[2], two[j][2]) for j in near.tolist()]
         return out
 
     def made(out: list):
@@ -210,7 +244,7 @@ def apart_links(batches: Iterable, similarity: float) -> Iterator:
 
     rows: list = []
     for batch in batches:
-        for r in zip(*(batch.column(i).to_pylist() for i in range(8))):
+        for r in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
             if rows and rows[0][0] != r[:4]:
                 yield made(compare(rows))
                 rows = []
@@ -219,10 +253,11 @@ def apart_links(batches: Iterable, similarity: float) -> Iterator:
         yield made(compare(rows))
 
 
-def _apart(met: DataFrame, parts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def _apart(met: DataFrame, parts: DataFrame, similarity: float, scratch: Scratch, sets=None, exact: float | None = None) -> DataFrame:
     """(a, b): similar texts of a fingerprint that the links so far leave in different parts.
 
-    The texts of a group's largest part are compared with all others, not with each other.
+    The texts of a group's largest part are compared with all others, not with each other. sets: gives (node, shingles)
+    of a table of nodes; then the links are those of apart_links() with `exact`.
     """
     key = ["band", "key"]
     named = scratch.keep(met.join(parts, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("part"), "slots"), "named")
@@ -235,15 +270,18 @@ def _apart(met: DataFrame, parts: DataFrame, similarity: float, scratch: Scratch
     mine = F.when(F.col("in_bulk"), F.col("others") + F.pmod(spread, F.col("alike"))).otherwise(F.pmod(spread, F.col("others")))
     upto = F.col("others") + F.when(F.col("in_bulk"), F.lit(0)).otherwise(F.col("alike"))
     both = F.transform(F.sequence(F.lit(0).cast("long"), upto - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("x"), F.greatest(o, F.col("mine")).alias("y")))
-    dealt = rows.withColumn("mine", mine).withColumn("to", F.explode(both)).select(*key, "to.x", "to.y", "mine", "node", "part", "slots")
+    carried = ["mine", "node", "part", "slots"]
+    if sets is not None:
+        rows = scratch.keep(rows, "rows")
+        rows, carried = rows.join(sets(rows.select("node").distinct()), "node"), [*carried, "shingles"]
+    dealt = rows.withColumn("mine", mine).withColumn("to", F.explode(both)).select(*key, "to.x", "to.y", *carried)
     group = [*key, "x", "y"]
-    return dealt.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(lambda batches: apart_links(batches, similarity), "a long, b long").distinct()
+    return dealt.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(lambda batches: apart_links(batches, similarity, exact), "a long, b long").distinct()
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, texts: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """The (a, b) of pairs whose texts' shingle sets have a Jaccard similarity of at least `similarity`."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "copy", "first"), "node")
-    ends = scratch.keep(ends, "ends")
+def _sets(nodes: DataFrame, docs: DataFrame, texts: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """(node, shingles): the sorted hashes of these texts' distinct shingles."""
+    ends = scratch.keep(nodes.join(texts.select("node", "copy", "first"), "node"), "ends")
     rows = columns(docs, doc_id="long", text="string")
     first = ends.select(F.col("first").alias("_rl_first")).distinct()
 
@@ -255,6 +293,15 @@ def _exact(pairs: DataFrame, docs: DataFrame, texts: DataFrame, shingle: int, si
                 made = [_words(t) for t in utf8(batch.slice(at, 128).column(1))]
                 yield pa.record_batch([pa.array([_copy(t) for t in made], pa.binary()), pa.array([np.unique(shingles(t, shingle)).tobytes() for t in made], pa.binary())], ["copy", "shingles"])
 
+    # A text's first row has it, among rows of the same id.
+    spelled = rows.join(first, rows["doc_id"].eqNullSafe(first["_rl_first"]), "left_semi").mapInArrow(spell, "copy binary, shingles binary")
+    return scratch.keep(ends.join(spelled.dropDuplicates(["copy"]), "copy").select("node", "shingles"), "shingles")
+
+
+def _exact(pairs: DataFrame, docs: DataFrame, texts: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """The (a, b) of pairs whose texts' shingle sets have a Jaccard similarity of at least `similarity`."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, texts, shingle, scratch)
+
     def decide(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
@@ -266,9 +313,6 @@ def _exact(pairs: DataFrame, docs: DataFrame, texts: DataFrame, shingle: int, si
                 on.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.record_batch([b.column("a").filter(pa.array(on, pa.bool_())), b.column("b").filter(pa.array(on, pa.bool_()))], ["a", "b"])
 
-    # A text's first row has it, among rows of the same id.
-    spelled = rows.join(first, rows["doc_id"].eqNullSafe(first["_rl_first"]), "left_semi").mapInArrow(spell, "copy binary, shingles binary")
-    sets = scratch.keep(ends.join(spelled.dropDuplicates(["copy"]), "copy").select("node", "shingles"), "shingles")
     met = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return met.mapInArrow(decide, "a long, b long")
 
@@ -300,8 +344,8 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: i
             links = scratch.keep(_exact(near, docs, texts, shingle, similarity, first), "links")
         with Scratch() as second:
             parts = second.keep(connected_components(links), "parts")
-            more = second.keep(_apart(met, parts, near_enough, second), "apart")
-            apart = scratch.keep(_exact(more, docs, texts, shingle, similarity, second), "links")
+            sets = lambda nodes: _sets(nodes, docs, texts, shingle, second)
+            apart = scratch.keep(_apart(met, parts, near_enough, second, sets, similarity), "links")
         parts = connected_components(links.unionByName(apart))
         component = texts.join(parts, "node", "left").select("copy", F.coalesce("component", "node").alias("component"), "first")
         return materialise(made.select("doc_id", "copy").join(component, "copy"), "near")[0]

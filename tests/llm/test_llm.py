@@ -594,3 +594,29 @@ def test_sketches_estimate_similarity():
 def test_kept_hash_of_query_matches_bytes(spark, odd):
     r = suffix.remove_repeats(odd).where("doc_id = 1").select("kept", F.sha2("kept", 256).alias("h")).first()
     assert r["h"] == hashlib.sha256(bytes(r["kept"])).hexdigest()
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_apart_links_join_parts_by_exact_similarity(block):
+    """Of many near copies below and above the threshold, the links join what brute force joins, and are no more than texts."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(31)
+    base = rng.integers(0, 1 << 62, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(100) < keep], rng.integers(0, 1 << 62, 5, dtype=np.uint64)])) for keep in rng.uniform(0.7, 1, 120)]
+    slots = np.zeros(near.SLOTS, np.uint8).tobytes()
+    blocks, mine = -(-len(sets) // block), [i % -(-len(sets) // block) for i in range(len(sets))]
+    rows = [(0, 7, x, y, mine[i], i, i, slots, sets[i].tobytes()) for x in range(blocks) for y in range(x, blocks) for i in range(len(sets)) if mine[i] in (x, y)]
+    names = ["band", "key", "x", "y", "mine", "node", "part", "slots", "shingles"]
+    batch = pa.record_batch([pa.array(c) for c in zip(*rows)], names)
+    got = [p for b in near.apart_links([batch], 0.6, 0.8) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    true = {(i, j) for i in range(120) for j in range(i + 1, 120) if (n := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - n)}
+
+    def parts(links):
+        part = list(range(120))
+        for a, b in links:
+            part = [part[a] if p == part[b] else p for p in part]
+        return {frozenset(i for i in range(120) if part[i] == p) for p in part}
+
+    assert {tuple(sorted(p)) for p in got} <= true and parts(got) == parts(true) and 2 < len(parts(true)) < 120
+    assert len(got) < 120 * blocks * (blocks + 1) / 2 and len(true) > 500
