@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions.layouts import HOLE, Layout
-from rasterloom.operators import greedy, movies
+from rasterloom.operators import distances, greedy, movies
 from rasterloom.sources import files
 
 
@@ -95,3 +95,25 @@ def test_every_other_frame():
     text = "x" * 7680 + "y" * 7680 + "z" * 7680
     ops = list(movies.operations(text, [0] * 1400, "HGR", 5, 490.0, 2, lambda: 0))
     assert {chr(c) for _, _, c, _ in ops} == {"x", "z"}
+
+
+def test_priorities_add_up_across_batches(spark):
+    """Movies of several frames, longer than a batch of pages too, against the rule cell by cell, without a shuffle."""
+    rng = np.random.default_rng(8)
+    movie = lambda n: "".join(chr(c) for c in rng.integers(97, 100, n))
+    texts = [movie(500), movie(7680 * 70 + 900), movie(7680 * 3), movie(10), movie(7680 * 2 + 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = distances.accumulated(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().replace("Coalesce", "")
+    weights = {}
+    for r in distances.diff_weights(docs).collect():
+        weights.setdefault((r["movie"], r["page"], r["off"]), {})[r["frame"]] = r["dist"]
+    want = {}
+    for (m, page, _), dist in weights.items():
+        held = 0
+        for frame in range((len(texts[m]) - 1) // 7680 + 1):
+            held = held + dist[frame] if frame in dist else 0
+            if held:
+                total, most = want.get((m, frame, page), (0, 0))
+                want[m, frame, page] = total + held, max(most, held)
+    assert {(r["movie"], r["frame"], r["page"]): (r["priority"], r["most"]) for r in found.collect()} == want
