@@ -117,3 +117,17 @@ def test_priorities_add_up_across_batches(spark):
                 total, most = want.get((m, frame, page), (0, 0))
                 want[m, frame, page] = total + held, max(most, held)
     assert {(r["movie"], r["frame"], r["page"]): (r["priority"], r["most"]) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("mode", ["HGR", "DHGR"])
+def test_movies_side_by_side_are_encoded_as_alone(mode):
+    """All operations equal the encoder's of each movie: frames that end in the middle of a page, errors that go back, wide characters."""
+    rng = np.random.default_rng(41)
+    text = lambda n, low, high: "".join(chr(c) for c in rng.integers(low, high, n))
+    texts = [text(900, 97, 100), "", text(33_000, 97, 123), text(5, 0x2500, 0x2600), text(8000, 32, 255), "a" * 16_000, text(15_400, 60, 64)]
+    got = {i: [] for i in range(len(texts))}
+    for i, seq, frame, bank, page, content, offsets in (r for part in greedy.together(texts, 490, 5, mode) for r in zip(*(x.tolist() for x in part))):
+        got[i].append((seq, frame, bank, page, content, offsets))
+    for i, t in enumerate(texts):
+        encoder = greedy.Encoder(mode, 5)
+        assert sorted(got[i]) == [(n, *op) for n, op in enumerate(greedy.budgeted(encoder, greedy.frames(encoder.layout, t), 490))]
