@@ -141,6 +141,32 @@ def test_suffix_dedup_spreads_hot_keys():
     assert {d for d, _ in gone} == set(range(1, 6))
 
 
+def test_suffix_verdicts_on_runs_that_repeat_themselves():
+    """Long runs of one key in many documents: right strings, and memory that follows the runs' bytes."""
+    import tracemalloc
+
+    line = b"Is onhe. Is on the. "
+    texts = [b"%03d" % (7 * i % 150) + (line * 140)[i % 13 :][: 2600 + i % 17] + b"%03d" % (i % 5) for i in range(150)]
+    parts = []
+    for i, t in enumerate(texts):
+        start, count, _ = suffix.runs(np.frombuffer(t, np.uint8), 50)
+        parts += [(i, n, t[a : a + n + 49]) for a, n in zip(start.tolist(), count.tolist())]
+    doc, count, joined = zip(*parts)
+    doc, count, joined = np.array(doc, np.int64), np.array(count, np.int32), b"".join(joined)
+    tracemalloc.start()
+    run, first, strings = suffix.verdicts(doc, count, joined, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {(r, s) for r, a, n in zip(run.tolist(), first.tolist(), strings.tolist()) for s in range(a, a + n)}
+    seen, want = {}, set()
+    for r, (d, n, b) in enumerate(parts):
+        for s in range(n):
+            if seen.setdefault(b[s : s + 50], d) < d:
+                want.add((r, s))
+    assert got == want and len(got) > 0.9 * count.sum()
+    assert peak < 90 * len(joined), peak / len(joined)
+
+
 def test_suffix_dedup_of_copies_and_largest_id(spark):
     """Copies of a whole text go without a sort; runs that a document repeats get their verdict everywhere."""
     line = "one line of more than fifty bytes that stands here again and again; "
