@@ -466,6 +466,24 @@ def test_lm_counts_what_follows_in_every_training_document(spark):
     assert (got == wanted).all() and wanted.sum() == sum(r["n_subwords"] for r in texts)
 
 
+def test_lm_tasks_get_little_to_store():
+    """What functions bring along becomes files on the driver and each executor: counts travel compressed, the table is made again."""
+    import pickle
+
+    from rasterloom.llm import attention
+
+    shape = attention.Shape()
+    rng = np.random.default_rng(4)
+    follows = np.zeros((shape.slots + 1, shape.slots))
+    np.add.at(follows, (rng.zipf(1.3, 200_000) % (shape.slots + 1), rng.zipf(1.3, 200_000) % shape.slots), 1)
+    v = small_vocabulary(shape, follows)
+    table, sent = v.step, pickle.dumps(v)
+    assert len(sent) < 0.2 * table.nbytes and len(pickle.dumps(v.places)) < 150_000
+    again = pickle.loads(sent)
+    assert np.array_equal(again.step, table) and np.array_equal(again.prior, v.prior) and np.array_equal(again.cls, v.cls)
+    assert np.allclose(np.exp(table + v.prior[:, v.cls]).sum(1), 1, atol=1e-4)
+
+
 def test_lm_scores_one_token_at_a_time():
     """The batched, masked windows give each token the probability it has alone, and these sum to one over all ids."""
     from rasterloom.llm import attention
