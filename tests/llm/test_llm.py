@@ -664,3 +664,28 @@ def test_apart_links_join_parts_by_exact_similarity(block):
 
     assert {tuple(sorted(p)) for p in got} <= true and parts(got) == parts(true) and 2 < len(parts(true)) < 120
     assert len(got) < 120 * blocks * (blocks + 1) / 2 and len(true) > 500
+
+
+def test_lm_cuts_groups_of_texts():
+    """Words and subwords of groups of texts, each kind looked up once, are those of each text alone."""
+    import pyarrow as pa
+
+    from rasterloom.llm.common import utf8
+    from rasterloom.llm.subwords import PartCache
+
+    rng = np.random.default_rng(4)
+    alphabet = ["a", "Be", "É", "ß", "÷", "'s", "'LL'", "12", ",", "...", "<|", " ", "  ", "\n", "\x0b", "\x1c", "\xa0", "中", "the "]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(800)] + ["x" * (lm.GROUP + 1), None, " ", "the end " * 300_000]
+    column, cache, seen = pa.array(texts, pa.string()), PartCache(tokenizer_path()), 0
+    ends = list(lm._groups(column)) + [(100, 300), (301, 302)]  # and slices within a batch
+    for lo, hi in ends:
+        part = [t.lower() for t in utf8(column.slice(lo, hi - lo))]
+        assert part == [(t or "").encode().lower() for t in texts[lo:hi]]
+        who, codes, kinds = lm._words(part)
+        names = kinds.to_pylist()
+        assert [(i, names[c]) for i, c in zip(who, codes)] == [(i, w) for i, t in enumerate(part) for w in t.split()]
+        ids, n = cache.encode_flat(part)
+        stops = np.cumsum(n)
+        assert [ids[b - k : b].tobytes() for b, k in zip(stops, n)] == [cache.encode(t.decode()) for t in part]
+        seen += hi - lo
+    assert seen == len(texts) + 201 and len(ends) > 3
