@@ -131,3 +131,19 @@ def test_movies_side_by_side_are_encoded_as_alone(mode):
     for i, t in enumerate(texts):
         encoder = greedy.Encoder(mode, 5)
         assert sorted(got[i]) == [(n, *op) for n, op in enumerate(greedy.budgeted(encoder, greedy.frames(encoder.layout, t), 490))]
+
+
+@pytest.mark.parametrize("mode", ["HGR", "DHGR"])
+def test_movies_that_fill_their_last_group(spark, mode):
+    """A batch whose last movie fills a group leaves none for a further one; no movies at all give no operations."""
+    assert list(greedy.together([], 490, 5, mode)) == []
+    banks = Layout(mode).banks
+    text, n = "to and fro " * 9000, greedy.TOGETHER // (greedy.PAGES * banks)
+    docs = spark.createDataFrame([(i, text[i : i + 7680 * banks]) for i in range(2 * n)], "doc_id long, text string").coalesce(1)
+    got = {}
+    for r in greedy.encode(docs, 4, mode=mode).collect():
+        got.setdefault(r["movie"], []).append(tuple(r)[1:])
+    encoder = greedy.Encoder(mode, 5)
+    assert len(got) == 2 * n and {len(ops) for ops in got.values()} == {4}
+    assert sorted(got[n]) == [(k, *op) for k, op in enumerate(greedy.budgeted(encoder, greedy.frames(encoder.layout, text[n : n + 7680 * banks]), 4))]
+    assert greedy.encode(docs.where("doc_id < 0"), 4, mode=mode).collect() == []
